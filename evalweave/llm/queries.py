@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalweave.llm import mixing, packing, partenum, quality, sqltext, suffix_dedup
+from evalweave.llm import ann, langid, mixing, packing, partenum, quality, sqltext, suffix_dedup, topk, urlfilter, ziv_merhav
 from evalweave.llm.common import read
 
 
@@ -21,6 +21,24 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs).select("doc_id", "source", "copies")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ziv_merhav.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.prototypes(docs))
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(read(spark, sf_dir, "embeddings"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return urlfilter.score(pages, urlfilter.fit(urlfilter.labelled(pages)))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
@@ -30,6 +48,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.similar_pairs(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_mixing, op8_quality, op9_jaccard_join)}
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_mixing, op4_lm_scoring, op5_language_id, op6_ann, op7_url_filter, op8_quality, op9_jaccard_join, op10_topk)}
 
-ORACLES = {"op2_suffix_dedup": sqltext.SUFFIX, "op3_mixing": sqltext.MIXING}
+ORACLES = {"op2_suffix_dedup": sqltext.SUFFIX, "op3_mixing": sqltext.MIXING, "op10_topk": sqltext.TOPK}
