@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import fresh
+from evalweave.llm.common import cut, fresh
 
 BINS = 1 << 15
 
@@ -77,10 +77,11 @@ def thresholds(docs: DataFrame, goal: DataFrame) -> DataFrame:
     w = w.select("s", F.coalesce("d", F.lit(-(2**63))).alias("d"), "zs", "want", certain.alias("certain"), p.alias("p"), x.alias("x"))
     fine = F.floor(F.col("x") * float(BINS * BINS)).cast("long")
     w = w.withColumn("b", F.least(F.floor(fine / BINS).cast("long"), F.lit(BINS - 1))).withColumn("f", fine)
-    counts = w.groupBy("s", "b").agg(F.sum("certain").alias("c"), F.sum((F.col("p") > 0).cast("long")).alias("k"), F.max("want").alias("want"))
+    # every step below leaves little: it is cut off, so that no later plan holds the earlier ones
+    counts = cut(w.groupBy("s", "b").agg(F.sum("certain").alias("c"), F.sum((F.col("p") > 0).cast("long")).alias("k"), F.max("want").alias("want")))
     rest = counts.groupBy("s").agg((F.max("want") - F.sum("c")).alias("rest"))
-    coarse = _locate(counts.filter("k > 0").select("s", "b", "k"), rest, "b")
-    inside = w.filter("p > 0").alias("w").join(coarse.alias("c"), F.col("w.s").eqNullSafe(F.col("c.s")) & (F.col("w.b") == F.col("c.b"))).select("w.s", "w.f", "w.x", "w.d", "c.rest")
+    coarse = cut(_locate(counts.filter("k > 0").select("s", "b", "k"), rest, "b"))
+    inside = cut(w.filter("p > 0").alias("w").join(coarse.alias("c"), F.col("w.s").eqNullSafe(F.col("c.s")) & (F.col("w.b") == F.col("c.b"))).select("w.s", "w.f", "w.x", "w.d", "c.rest"))
     parts = inside.groupBy("s", "f").agg(F.count("*").alias("k"), F.first("rest").alias("rest"))
     exact = _locate(parts.select("s", "f", "k"), parts.groupBy("s").agg(F.first("rest").alias("rest")), "f")
     few = inside.drop("rest").alias("w").join(exact.alias("c"), F.col("w.s").eqNullSafe(F.col("c.s")) & (F.col("w.f") == F.col("c.f"))).select("w.s", "w.x", "w.d", "c.rest")
@@ -105,7 +106,7 @@ def _locate(counts: DataFrame, rest: DataFrame, key: str) -> DataFrame:
 
 def mixed(docs: DataFrame, targets: dict[str, float] | None = None, ratio: float = 1.0) -> DataFrame:
     """docs with a column of the copies to take (the name: see copies_name), without the rows that get none."""
-    limit = thresholds(docs, goals(docs, targets, ratio))
+    limit = cut(thresholds(docs, cut(goals(docs, targets, ratio))))
     names = {c: fresh(docs, f"mix_{c}") for c in limit.columns}
     limit = limit.select(*(F.col(c).alias(n) for c, n in names.items()))
     s, zs, want, last_x, last_d = (F.col(n) for n in names.values())
