@@ -25,7 +25,7 @@ from evalweave.llm.common import SPACE, arrow_batches, raw_texts, share, word_bo
 
 NGRAM = 4
 BITS = 18
-PER_CLASS = 2500
+PER_CLASS = 1500
 SIZE = (1 << BITS) + (1 << 15)
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[65:91] = 2
@@ -150,6 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     order = sorted(range(got.num_rows), key=lambda i, ids=got.column("doc_id").to_pylist(): (ids[i], i))
     blobs, q, t = (got.column(c).to_pylist() for c in ("f", "q", "t"))
     rows = [np.frombuffer(blobs[i], dtype=np.uint32) for i in order]
+    del got
+    pa.default_memory_pool().release_unused()
     good, toxic = np.array([q[i] == 1 for i in order], dtype=bool), np.array([t[i] == 1 for i in order], dtype=bool)
     weights, ratios, bias, floor, fitted = np.zeros((SIZE, 2), np.float32), np.zeros((SIZE, 2), np.float32), np.zeros(2), np.zeros(2), [False, False]
     for k, truth in enumerate((good, toxic)):
