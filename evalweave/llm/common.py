@@ -111,6 +111,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sent_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, which must be cheap to count, marked for broadcast if it has fewer rows than that; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() < rows else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import cut, fresh
+from evalweave.llm.common import cut, fresh, sent_if_small
 
 BINS = 1 << 15
 
@@ -71,8 +71,8 @@ def _order(d: Column, z: Column, zs: Column, want: Column) -> tuple[Column, Colu
 
 def thresholds(docs: DataFrame, goal: DataFrame) -> DataFrame:
     """(s, zs, want, last_x, last_d): of each source the ratio and id up to which one more copy is given; null: none."""
-    # one row a source; Spark broadcasts it while it is small and shuffles thin rows beyond
-    w = _weighed(docs).alias("w").join(goal.alias("g"), F.col("w.s").eqNullSafe(F.col("g.s"))).select("w.s", "d", "z", "zs", "want")
+    # one row a source, sent to the documents while sources are few; beyond, thin rows are shuffled
+    w = _weighed(docs).alias("w").join(sent_if_small(goal).alias("g"), F.col("w.s").eqNullSafe(F.col("g.s"))).select("w.s", "d", "z", "zs", "want")
     certain, p, x = _order(F.col("d"), F.col("z"), F.col("zs"), F.col("want"))
     w = w.select("s", F.coalesce("d", F.lit(-(2**63))).alias("d"), "zs", "want", certain.alias("certain"), p.alias("p"), x.alias("x"))
     fine = F.floor(F.col("x") * float(BINS * BINS)).cast("long")
@@ -81,7 +81,7 @@ def thresholds(docs: DataFrame, goal: DataFrame) -> DataFrame:
     counts = cut(w.groupBy("s", "b").agg(F.sum("certain").alias("c"), F.sum((F.col("p") > 0).cast("long")).alias("k"), F.max("want").alias("want")))
     rest = counts.groupBy("s").agg((F.max("want") - F.sum("c")).alias("rest"))
     coarse = cut(_locate(counts.filter("k > 0").select("s", "b", "k"), rest, "b"))
-    inside = cut(w.filter("p > 0").alias("w").join(coarse.alias("c"), F.col("w.s").eqNullSafe(F.col("c.s")) & (F.col("w.b") == F.col("c.b"))).select("w.s", "w.f", "w.x", "w.d", "c.rest"))
+    inside = cut(w.filter("p > 0").alias("w").join(sent_if_small(coarse).alias("c"), F.col("w.s").eqNullSafe(F.col("c.s")) & (F.col("w.b") == F.col("c.b"))).select("w.s", "w.f", "w.x", "w.d", "c.rest"))
     parts = inside.groupBy("s", "f").agg(F.count("*").alias("k"), F.first("rest").alias("rest"))
     exact = _locate(parts.select("s", "f", "k"), parts.groupBy("s").agg(F.first("rest").alias("rest")), "f")
     few = inside.drop("rest").alias("w").join(exact.alias("c"), F.col("w.s").eqNullSafe(F.col("c.s")) & (F.col("w.f") == F.col("c.f"))).select("w.s", "w.x", "w.d", "c.rest")
@@ -108,7 +108,7 @@ def mixed(docs: DataFrame, targets: dict[str, float] | None = None, ratio: float
     """docs with a column of the copies to take (the name: see copies_name), without the rows that get none."""
     limit = cut(thresholds(docs, cut(goals(docs, targets, ratio))))
     names = {c: fresh(docs, f"mix_{c}") for c in limit.columns}
-    limit = limit.select(*(F.col(c).alias(n) for c, n in names.items()))
+    limit = sent_if_small(limit).select(*(F.col(c).alias(n) for c, n in names.items()))
     s, zs, want, last_x, last_d = (F.col(n) for n in names.values())
     certain, p, x = _order(docs["doc_id"].cast("long"), _weight(docs["n_chars"]), zs, want)
     d = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))
