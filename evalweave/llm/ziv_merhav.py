@@ -1,31 +1,44 @@
 """LM scoring by Ziv-Merhav cross-parsing against reference text, symbol by symbol (a symbol is a word).
 
-The reference is every document labelled of high quality and not toxic. It is laid out in cells of about
-CELL_WORDS words of one language, by a hash of doc_id; the number of cells grows with the reference,
-the memory of a task doesn't. Each cell's words are compiled into a suffix automaton. A document is
-scored against one cell of its language, never the one that holds its own text: it is factored greedily
-into the longest phrases that occur in the cell (an unknown word is a phrase of its own). With c phrases
-over n words and N words in the cell, the cross-entropy is c log2(N + 1) / n bits a word; less the
-document's own LZ78 estimate, p log2(p) / n for p incremental phrases, it is the relative entropy.
+The reference is every distinct text labelled of high quality and not toxic. A document is factored greedily
+into the longest phrases that occur anywhere in the reference of its language (an unknown word is a phrase
+of its own). With c phrases over n words and N words in that reference, the cross-entropy is c log2(N + 1) / n
+bits a word; less the document's own LZ78 estimate, p log2(p) / n for p incremental phrases, it is the
+relative entropy. A document never meets itself: a text that one document alone has is left out of the
+reference it is scored against. A text that several documents have is scored against all of it, copies
+included, so that equal texts of a language score alike.
+
+The reference is indexed by content. Its words (64-bit hashes salted by the language) lie in one file of the
+shared folder; the places of its suffixes are shuffled to buckets by the hash of their first two words, whose
+number grows with the reference, and each bucket is written sorted by the first CAP words. Scoring tasks map
+these files and narrow the range of a suffix word by word; phrases of CAP words or more are compared in full.
 
 Edge cases: null or blank text has no row. A null language is one of its own. A language without reference
-text scores as against an empty cell. Labels with null doc_id or null values don't count; of several labels
+text scores as against an empty one. Labels with null doc_id or null values don't count; of several labels
 of one document the worst does. Rows with null doc_id are scored; repeated rows are scored alike. Other
 columns are ignored; an empty table gives an empty result. Words are lower-cased.
 """
 
 from __future__ import annotations
 
-import gc
 import math
+import os
+import shutil
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import arrow_batches, has_words
+from evalweave.llm.common import arrow_batches, cut, gram_hashes, has_words, mix, shared_folder, word_bounds, word_hashes
 
-CELL_WORDS = 150_000
+#: Suffixes of the reference in a bucket, about.
+BUCKET = 1_000_000
+#: Words by which suffixes are sorted; words compared at once beyond them; suffixes compared at once.
+CAP, STEP, MANY = 16, 32, 1 << 15
 
 
 def automaton(documents: list[list[str]]) -> list[dict[str, int]]:
@@ -109,39 +122,288 @@ def own_phrases(words: list[str]) -> int:
     return count + (at > 0)
 
 
-def scores(docs: DataFrame, labels: DataFrame, cell_words: int = CELL_WORDS) -> DataFrame:
+def hashes(words: list[str], salt: int) -> np.ndarray:
+    """A hash of each word in the language of a salt; 0 and 1 are kept for the ends of texts."""
+    raw = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
+    return np.maximum(mix(word_hashes(raw, *word_bounds(raw)) + np.uint64(salt & (2**64 - 1))), np.uint64(2))
+
+
+def pairs(text: np.ndarray) -> np.ndarray:
+    """A hash of each word with the next."""
+    return gram_hashes(text, 2)
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+
+
+def sorted_suffixes(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, distinct pair hashes, where each begins): places sorted by pair hash, then by the words up to CAP, then by place."""
+    at = np.sort(at)
+    h = mixed_pairs(text, at)
+    order = np.argsort(h, kind="stable")
+    at, h = at[order], h[order]
+    group = np.r_[True, h[1:] != h[:-1]] if len(h) else np.empty(0, dtype=bool)
+    first = np.flatnonzero(group)
+    keys = h[first]
+    for d in range(2, CAP):
+        tied = ~group  # a suffix is tied if it or the next doesn't begin a group
+        tied[:-1] |= ~group[1:]
+        tied = np.flatnonzero(tied)
+        if not len(tied):
+            break
+        number = np.cumsum(group)[tied]
+        t = text[at[tied] + d]
+        order = np.lexsort((t, number))
+        at[tied], t = at[tied][order], t[order]
+        group[tied[1:]] |= t[1:] != t[:-1]
+    return at, keys, np.append(first, len(at))
+
+
+def mixed_pairs(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """As pairs(), of the words at given places."""
+    out = np.empty(len(at), dtype=np.uint64)
+    for i in range(0, len(at), 1 << 16):
+        a = at[i : i + (1 << 16)]
+        both = np.stack([text[a], text[a + 1], np.zeros(len(a), dtype=np.uint64)], axis=1).ravel()
+        out[i : i + len(a)] = pairs(both)[0::3]
+    return out
+
+
+class Index:
+    """The mapped files of a reference."""
+
+    def __init__(self, folder: str, buckets: int) -> None:
+        self.folder, self.buckets, self.open = folder, buckets, {}
+        self.text = np.memmap(f"{folder}/text", dtype=np.uint64, mode="r")
+        self.keys, self.alone, self.starts, self.ends, self.sorted_starts = (self.array(x) for x in ("keys", "alone", "starts", "ends", "sorted_starts"))
+
+    def array(self, name: str) -> np.ndarray:
+        if name not in self.open:
+            path = f"{self.folder}/{name}.npy"
+            self.open[name] = np.load(path, mmap_mode="r") if os.path.getsize(path) > 128 else np.load(path)
+        return self.open[name]
+
+    def own(self, key: int) -> tuple[int, int]:
+        """Where the text that a document must not meet begins and ends; (-1, -1) for none."""
+        k = int(np.searchsorted(self.keys, key))
+        if k < len(self.keys) and self.keys[k] == key and self.alone[k]:
+            return int(self.starts[k]), int(self.ends[k])
+        return -1, -1
+
+    def lengths(self, text: np.ndarray, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[int, int, int]]]:
+        """Words, up to CAP, of the longest phrase at each place `at` of text, and for places of CAP words (bucket, from, to). own: where the text begins that a place must not meet, or -1."""
+        out = np.zeros(len(text), dtype=np.int32)
+        found: dict[int, tuple[int, int, int]] = {}
+        w = text[at]
+        order = np.argsort(w)
+        cuts = np.searchsorted(bucket_of(w[order], self.buckets), np.arange(self.buckets + 1))
+        for b in range(self.buckets):
+            i = order[cuts[b] : cuts[b + 1]]
+            words = self.array(f"words-{b}")
+            if len(i) and len(words):
+                k = np.minimum(np.searchsorted(words, w[i]), len(words) - 1)
+                known = (words[k] == w[i]) & ((own[i] < 0) | (self.array(f"least-{b}")[k] != own[i]) | (self.array(f"most-{b}")[k] != own[i]))
+                out[at[i[known]]] = 1
+        inner = np.flatnonzero((out[at] == 1) & (text[at + 1] > 1))
+        h = pairs(text)[at[inner]]
+        order = np.argsort(h)
+        inner, h = inner[order], h[order]
+        cuts = np.searchsorted(bucket_of(h, self.buckets), np.arange(self.buckets + 1))
+        for b in range(self.buckets):
+            i, keys = inner[cuts[b] : cuts[b + 1]], self.array(f"pairs-{b}")
+            if not len(i) or not len(keys):
+                continue
+            k = np.minimum(np.searchsorted(keys, h[cuts[b] : cuts[b + 1]]), len(keys) - 1)
+            hit = keys[k] == h[cuts[b] : cuts[b + 1]]
+            i, k = i[hit], k[hit]
+            places, runs, first = (self.array(f"{x}-{b}") for x in ("places", "runs", "first"))
+            lo, hi = first[k].astype(np.int64), first[k + 1].astype(np.int64)
+            for d in range(2, CAP + 1):
+                # the range shares d words; it counts if it isn't all of the place's own text
+                met = lo < hi
+                mine = np.flatnonzero(met & (own[i] >= 0))
+                begins = self.sorted_starts[np.searchsorted(self.sorted_starts, places[lo[mine]], side="right") - 1]
+                met[mine] = (begins != own[i[mine]]) | (runs[lo[mine]] < hi[mine])
+                i, lo, hi = i[met], lo[met], hi[met]
+                out[at[i]] = d
+                if d == CAP or not len(i):
+                    break
+                t = text[at[i] + d]
+                lo, hi = self._edge(places, lo, hi, t, d, False), self._edge(places, lo, hi, t, d, True)
+            for j, x, y in zip(at[i].tolist(), lo.tolist(), hi.tolist(), strict=True):
+                found[j] = (b, x, y)
+        return out, found
+
+    def _edge(self, places: np.ndarray, lo: np.ndarray, hi: np.ndarray, t: np.ndarray, d: int, after: bool) -> np.ndarray:
+        """The first suffix of each range lo..hi whose word d isn't below t, or is above it."""
+        lo, hi = lo.copy(), hi.copy()
+        some = np.flatnonzero(lo < hi)
+        while len(some):
+            mid = (lo[some] + hi[some]) >> 1
+            word = self.text[places[mid] + d]
+            below = word <= t[some] if after else word < t[some]
+            lo[some[below]], hi[some[~below]] = mid[below] + 1, mid[~below]
+            some = some[lo[some] < hi[some]]
+        return lo
+
+    def longest(self, text: np.ndarray, at: int, found: tuple[int, int, int], own: tuple[int, int]) -> int:
+        """Words of the longest phrase at a place of text that begins with CAP words of a range of suffixes."""
+        b, lo, hi = found
+        best = 0
+        for i in range(lo, hi, MANY):
+            places = np.asarray(self.array(f"places-{b}")[i : min(hi, i + MANY)])
+            places = places[(places < own[0]) | (places >= own[1])]
+            n = CAP
+            while len(places):
+                want = text[at + n : at + n + STEP]
+                same = np.logical_and.accumulate(self.text[(places + n)[:, None] + np.arange(len(want))] == want, axis=1).sum(axis=1)
+                best = max(best, n + int(same.max()))
+                places, n = places[same == STEP], n + STEP
+        return best
+
+
+def _save(folder: str, name: str, values: np.ndarray) -> None:
+    """Whole or not at all, also where a task is run twice."""
+    part = f"{folder}/{name}.{uuid.uuid4().hex}.part"
+    with open(part, "wb") as f:
+        np.save(f, values)
+    os.replace(part, f"{folder}/{name}.npy")
+
+
+def indexed(reference: DataFrame, folder: str, bucket_words: int) -> tuple[int, dict[str, int]]:
+    """Write the index of (key, alone, lang, salt, text), which must be cut, to a folder: (buckets, words of each language)."""
+    spark = reference.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for b in batches:
+            n = pa.array([len(t.lower().split()) for t in b.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), b.column("key"), b.column("alone"), b.column("lang"), n], ["part", "key", "alone", "lang", "n"])
+
+    texts = reference.mapInArrow(count, "part int, key long, alone boolean, lang string, n long").toArrow()
+    part, key, n = (texts.column(c).to_numpy() for c in ("part", "key", "n"))
+    alone = texts.column("alone").to_numpy(zero_copy_only=False)
+    order = np.argsort(part, kind="stable")  # texts of a part stay in their order
+    starts = np.empty(len(n), dtype=np.int64)
+    starts[order] = np.cumsum(n[order] + 1) - (n[order] + 1)
+    base: dict[int, int] = {}
+    for p, s in zip(part[order].tolist(), starts[order].tolist(), strict=True):
+        base.setdefault(p, s)
+    total = int((n + 1).sum())
+    by = np.argsort(key)
+    for name, values in (("keys", key[by]), ("alone", alone[by]), ("starts", starts[by]), ("ends", (starts + n)[by]), ("sorted_starts", np.sort(starts))):
+        _save(folder, name, values)
+    with open(f"{folder}/text", "wb") as f:
+        f.truncate(8 * (total + CAP + STEP))
+    buckets = max(1, -(-total // bucket_words))
+    words: dict[str, int] = {}
+    for lang, k in zip(texts.column("lang").to_pylist(), n.tolist(), strict=True):
+        words[lang] = words.get(lang, 0) + k
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = base.get(TaskContext.get().partitionId(), 0)
+        with open(f"{folder}/text", "r+b") as f:
+            for b in batches:
+                parts, begins, here = [], [], at
+                for t, salt in zip(b.column("text").to_pylist(), b.column("salt").to_pylist(), strict=True):
+                    h = hashes(t.lower().split(), salt)
+                    parts += [h, np.zeros(1, dtype=np.uint64)]
+                    begins.append(np.full(len(h) + 1, here, dtype=np.int64))
+                    here += len(h) + 1
+                if not parts:
+                    continue
+                text, begin = np.concatenate(parts), np.concatenate(begins)
+                f.seek(8 * at)
+                f.write(text.tobytes())
+                real = np.flatnonzero(text)
+                order = real[np.lexsort((begin[real], text[real]))]
+                first = np.flatnonzero(np.r_[True, text[order][1:] != text[order][:-1]])
+                word, least, most = text[order[first]], begin[order[first]], begin[order[np.append(first[1:], len(order)) - 1]]
+                inner = np.flatnonzero((text[:-1] > 0) & (text[1:] > 0))
+                home = bucket_of(pairs(text)[inner], buckets)
+                order = np.argsort(home, kind="stable")
+                inner, cuts, word_cuts = inner[order] + at, np.searchsorted(home[order], np.arange(buckets + 1)), np.searchsorted(bucket_of(word, buckets), np.arange(buckets + 1))
+                used = [k for k in range(buckets) if cuts[k] < cuts[k + 1] or word_cuts[k] < word_cuts[k + 1]]
+                columns = [[a[c[k] : c[k + 1]].tobytes() for k in used] for a, c in ((inner, cuts), (word, word_cuts), (least, word_cuts), (most, word_cuts))]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "places", "words", "least", "most"])
+                at = here
+
+    def write(table: pa.Table) -> pa.Table:
+        b = table.column("bucket")[0].as_py()
+        at, word, least, most = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("places", np.int64), ("words", np.uint64), ("least", np.int64), ("most", np.int64)))
+        text, begins = np.memmap(f"{folder}/text", dtype=np.uint64, mode="r"), np.load(f"{folder}/sorted_starts.npy", mmap_mode="r")
+        at, keys, first = sorted_suffixes(text, at)
+        begin = np.searchsorted(begins, at, side="right")
+        last = np.flatnonzero(np.r_[begin[1:] != begin[:-1], True]) if len(at) else np.empty(0, dtype=np.int64)
+        runs = last[np.searchsorted(last, np.arange(len(at)))] + 1 if len(at) else last
+        order = np.argsort(word, kind="stable")
+        word, least, most = word[order], least[order], most[order]
+        new = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.empty(0, dtype=np.int64)
+        small = np.uint32 if total < 2**32 else np.int64
+        for name, values in (("places", at.astype(small)), ("pairs", keys), ("first", first.astype(np.int32)), ("runs", runs.astype(np.int32)), ("words", word[new]), ("least", np.minimum.reduceat(least, new) if len(new) else least), ("most", np.maximum.reduceat(most, new) if len(new) else most)):
+            _save(folder, f"{name}-{b}", values)
+        return pa.table([pa.array([b], pa.int32())], ["bucket"])
+
+    # every bucket has files, if empty ones
+    every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), *(F.lit(b"").alias(c) for c in ("places", "words", "least", "most")))
+    rows = reference.mapInArrow(place, "bucket int, places binary, words binary, least binary, most binary").union(every)
+    # texts are in their file before any bucket is sorted: a shuffle lies between
+    rows.groupBy("bucket").applyInArrow(write, "bucket int").count()
+    return buckets, words
+
+
+def scores(docs: DataFrame, labels: DataFrame, bucket_words: int = BUCKET) -> DataFrame:
     """(doc_id, n_words, phrases, own_phrases, cross_entropy, relative_entropy) of every document with words."""
-    arrow_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    arrow_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text").filter(has_words(F.col("text")))
+    docs = docs.withColumn("key", F.xxhash64("lang", "text"))
     best = (
         labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("q"), F.max(F.col("toxic").cast("int")).alias("t")).filter("q = 1 AND t = 0").select("doc_id")
     )
-    referenced = docs.join(best, "doc_id", "left_semi")
-    # one row a language: cells of about cell_words words (six bytes each), at least two, so that no text meets itself
-    plan = referenced.groupBy("lang").agg(F.greatest(F.lit(2), F.ceil(F.sum(F.octet_length("text")) / (6.0 * cell_words))).cast("int").alias("cells"))
-    home = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.col("cells"))
-    scored = docs.join(plan, "lang", "left").withColumn("cells", F.coalesce("cells", F.lit(2)))
-    scored = scored.select("doc_id", "lang", "text", F.pmod(home + 1, F.col("cells")).cast("int").alias("cell"))
-    reference = referenced.join(plan, "lang").select(F.col("lang").alias("l"), F.col("text").alias("r"), home.cast("int").alias("c"))
-
-    def parse(left: pa.Table, right: pa.Table) -> pa.Table:
-        gc.disable()  # millions of small dicts and no cycles
-        text = [t.lower().split() for t in right.column("r").to_pylist()]
-        steps = automaton(text)
-        bits = math.log2(sum(map(len, text)) + 1)
-        del text
-        rows = []
-        for i, t in zip(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), strict=True):
-            words = t.lower().split()
-            n = max(1, len(words))
-            cross, own = cross_phrases(words, steps), own_phrases(words)
-            entropy = cross * max(bits, 1.0) / n
-            rows.append((i, len(words), cross, own, entropy, entropy - own * math.log2(max(own, 1)) / n))
-        del steps
-        gc.enable()
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_words", "phrases", "own_phrases", "cross_entropy", "relative_entropy"])
+    referenced = docs.join(F.broadcast(best), "doc_id", "left_semi").dropDuplicates(["key"])  # ids go to the texts, not texts to the ids
+    holders = docs.groupBy("key").agg((F.countDistinct("doc_id") + F.count_if(F.col("doc_id").isNull()) == 1).alias("alone"))
+    reference = cut(referenced.join(holders, "key").select("key", "alone", "lang", F.xxhash64("lang").alias("salt"), "text"))
+    home = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    folder = f"{home}/ziv-merhav-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    try:
+        return cut(_scored(docs, folder, *indexed(reference, folder, bucket_words)))
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+
+
+def _scored(docs: DataFrame, folder: str, buckets: int, words_of: dict[str, int]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(folder, buckets)
+        for b in batches:
+            texts = [t.lower().split() for t in b.column("text").to_pylist()]
+            lines, owns, begins, here = [], [], [], 0
+            for words, salt, key in zip(texts, b.column("salt").to_pylist(), b.column("key").to_pylist(), strict=True):
+                lines += [hashes(words, salt), np.ones(1, dtype=np.uint64)]
+                owns.append(index.own(key))
+                begins.append(here)
+                here += len(words) + 1
+            text = np.concatenate([*lines, np.ones(CAP + STEP, dtype=np.uint64)])
+            at = np.flatnonzero(text > 1)
+            lengths, found = index.lengths(text, at, np.repeat(np.array([o[0] for o in owns], dtype=np.int64), [len(w) for w in texts]))
+            rows = []
+            for i, lang, words, own, begin in zip(b.column("doc_id").to_pylist(), b.column("lang").to_pylist(), texts, owns, begins, strict=True):
+                n, k, cross = len(words), 0, 0
+                steps = lengths[begin : begin + n].tolist()
+                while k < n:
+                    step = steps[k]
+                    if step == CAP:
+                        step = index.longest(text, begin + k, found[begin + k], own)
+                    k += step or 1
+                    cross += 1
+                bits = max(1.0, math.log2(words_of.get(lang, 0) - (own[1] - own[0]) + 1))
+                p = own_phrases(words)
+                rows.append((i, n, cross, p, cross * bits / max(1, n), (cross * bits - p * math.log2(max(p, 1))) / max(1, n)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_words", "phrases", "own_phrases", "cross_entropy", "relative_entropy"])
 
     out = "doc_id long, n_words long, phrases long, own_phrases long, cross_entropy double, relative_entropy double"
-    return scored.groupBy("lang", "cell").cogroup(reference.groupBy("l", "c")).applyInArrow(parse, out)
+    return docs.withColumn("salt", F.xxhash64("lang")).mapInArrow(run, out)

@@ -117,6 +117,23 @@ def test_lm_scores(spark, docs, labels, odd, none):
     assert ziv_merhav.scores(odd, labels).count() == 3 and ziv_merhav.scores(none, labels).count() == 0
 
 
+def test_lm_scores_are_against_the_whole_reference(spark):
+    rng = random.Random(7)
+    texts = {i: " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 60))) for i in range(80)}
+    texts |= {80: texts[3], 81: texts[4], 82: texts[5] + " x " + texts[6], 83: "z z z " * 30, 84: "Y " + "a b " * 40, 85: "a b " * 40, 86: texts[7][:-1] + "q"}
+    good = {i for i in texts if i % 2 or i == 6}
+    rows = [(i, t, "de" if i % 5 == 0 else "en", "s", 1) for i, t in texts.items()]
+    marks = spark.createDataFrame([(i, 1, 0) for i in good] + [(2, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in ziv_merhav.scores(spark.createDataFrame(rows, DOCS), marks, 100).collect()}
+    assert set(got) == set(texts)
+    for i, t, lang, *_ in rows:
+        alone = sum(u == t and g == lang for _, u, g, *_ in rows) == 1
+        reference = [u.lower().split() for u in {u for j, u, g, *_ in rows if j in good and g == lang} if not (alone and u == t)]
+        words = t.lower().split()
+        assert got[i]["phrases"] == brute_cross(words, reference), i
+        assert got[i]["cross_entropy"] == pytest.approx(got[i]["phrases"] * max(1, math.log2(sum(map(len, reference)) + 1)) / len(words))
+
+
 def test_language_accuracy(spark, docs, odd, none):
     train = docs.filter("doc_id % 2 = 0")
     held = langid.identify(docs.filter("doc_id % 2 = 1 AND length(text) > 60"), langid.prototypes(train)).collect()
