@@ -2,12 +2,14 @@
 
 Features: lengths of URL, host, path and query, path depth, digit ratios of URL and host, character
 entropy, counts of parameters, of dots and hyphens of the host, whether the scheme is https, and two
-statistics of the host's last two labels among the training URLs: the smoothed share of bad ones and
+statistics of the host's last two labels among all labelled URLs: the smoothed share of bad ones and
 the log of their number. Trees of fixed depth are grown on binned features by the gradients of the
 logistic loss, on the driver, from a bounded sample of the labelled URLs (at most about TRAIN of each
-label, by a hash of the URL); scoring is one pass without shuffle that reads only ids and URLs.
+label, by a hash of the URL), weighted so that each label counts as among all labelled URLs; scoring is
+one pass without shuffle that reads only ids and URLs.
 
-Where no labels are at hand, labelled() marks URLs of blocked domains as bad and all others as good.
+Where no labels are at hand, labelled() marks URLs of blocked names as bad, whatever stands before or after
+the name in the host, and all others as good.
 
 Edge cases: null or blank URLs have a null score and aren't blocked. Repeated rows score alike. With labels
 of one kind only, or none, nothing is blocked. Malformed URLs are scored on what parses. Other columns are
@@ -29,16 +31,16 @@ from evalweave.llm.common import arrow_batches, has_words, share
 
 TRAIN = 10_000
 TREES, DEPTH, RATE, CELLS = 40, 3, 0.2, 32
-BLOCKED = ("spam-farm.example.org", "cheap-pills.example.com")
+BLOCKED = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x")
 _PARTS = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*://)?(?P<host>[^/?#]*)(?P<path>[^?#]*)(?P<query>[^#]*)"
 
 
 def labelled(pages: DataFrame, blocked: tuple[str, ...] = BLOCKED) -> DataFrame:
-    """(url, bad): 1 for URLs of a blocked domain or below it, else 0."""
+    """(url, bad): 1 for URLs whose host has a blocked name among its labels, under any suffix, else 0."""
     host = F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.\-]*://)?([^/?#:]*)", 1))
     bad = F.lit(False)
-    for domain in blocked:
-        bad = bad | (host == domain) | host.endswith("." + domain)
+    for name in blocked:
+        bad = bad | F.concat(F.lit("."), host, F.lit(".")).contains(f".{name}.")
     return pages.filter(F.col("url").isNotNull()).select("url", bad.cast("int").alias("bad"))
 
 
@@ -46,6 +48,15 @@ def _suffixes(host: pa.Array) -> list[str]:
     return [".".join(h.split(".")[-2:]) for h in host.to_pylist()]
 
 
+def _suffixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(suffix, bad, n) of each batch of (url, bad)."""
+    for b in batches:
+        host = pc.struct_field(pc.extract_regex(pc.utf8_lower(b.column("url").cast(pa.string())), _PARTS), "host")
+        suffixes = pa.table({"suffix": pa.array(_suffixes(pc.fill_null(host, "")), pa.string()), "bad": b.column("bad").cast(pa.int64())})
+        sums = suffixes.group_by("suffix").aggregate([("bad", "sum"), ("bad", "count")])
+        yield from sums.select(["suffix", "bad_sum", "bad_count"]).rename_columns(["suffix", "bad", "n"]).to_batches()
+
+
 def features(urls: pa.Array, stats: dict[str, tuple[float, float]], prior: float) -> np.ndarray:
     """A row of features for each URL, which must not be null."""
     urls = urls.cast(pa.string())
@@ -98,9 +109,9 @@ def log_odds(trees: tuple, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def boost(x: np.ndarray, y: np.ndarray) -> Trees:
-    """Fit the trees by gradients and curvatures of the logistic loss on binned features."""
-    mean = y.mean()
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Trees:
+    """Fit the trees by gradients and curvatures of the weighted logistic loss on binned features."""
+    mean = np.average(y, weights=weight)
     model = Trees(bias=float(np.log(mean / (1 - mean))))
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, CELLS + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
@@ -108,7 +119,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
     inner = (1 << DEPTH) - 1
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-score))
-        g, h = p - y, p * (1 - p)
+        g, h = weight * (p - y), weight * p * (1 - p)
         split, at = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf)
         node = np.zeros(len(y), dtype=np.int64)
         for level in range(DEPTH):
@@ -139,7 +150,8 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def fit(urls: DataFrame, train: int = TRAIN) -> tuple[Trees, dict[str, tuple[float, float]], float]:
-    """(trees, suffix statistics, prior) from (url, bad), by at most about `train` URLs of each label."""
+    """(trees, suffix statistics, prior) from (url, bad): trees by at most about `train` URLs of each label, the rest by all."""
+    arrow_batches(urls.sparkSession)
     urls = urls.filter(has_words(F.col("url")) & F.col("bad").isNotNull()).select("url", F.col("bad").cast("int").alias("bad"))
     sizes = {r["bad"]: r["count"] for r in urls.groupBy("bad").count().collect()}  # two rows
     rate = F.lit(0)
@@ -152,15 +164,11 @@ def fit(urls: DataFrame, train: int = TRAIN) -> tuple[Trees, dict[str, tuple[flo
     order = np.argsort(np.array(got.column("url").to_pylist(), dtype=object), kind="stable")
     text, y = got.column("url").take(pa.array(order)).combine_chunks(), y[order]
     text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
-    prior = float(y.mean())
-    host = pc.struct_field(pc.extract_regex(pc.utf8_lower(text), _PARTS), "host")
-    tally: dict[str, list[float]] = {}
-    for s, b in zip(_suffixes(pc.fill_null(host, "")), y, strict=True):
-        t = tally.setdefault(s, [0.0, 0.0])
-        t[0] += b
-        t[1] += 1
-    stats = {s: ((b + 20 * prior) / (n + 20), float(np.log1p(n))) for s, (b, n) in tally.items()}
-    return boost(features(text, stats, prior), y), stats, prior
+    weight = np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum())
+    prior = sizes[1] / (sizes[0] + sizes[1])
+    tally = urls.mapInArrow(_suffixed, "suffix string, bad long, n long").groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).toArrow().to_pydict()
+    stats = {s: ((b + 20 * prior) / (n + 20), float(np.log1p(n))) for s, b, n in zip(tally["suffix"], tally["bad"], tally["n"], strict=True)}
+    return boost(features(text, stats, prior), y, weight), stats, prior
 
 
 def score(pages: DataFrame, model: tuple[Trees, dict[str, tuple[float, float]], float]) -> DataFrame:

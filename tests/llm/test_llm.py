@@ -184,6 +184,20 @@ def test_url_filter(spark):
     assert urlfilter.score(strange, urlfilter.fit(marked.limit(0))).filter("blocked").count() == 0
 
 
+def test_url_labels_and_statistics(spark):
+    bad = [f"https://{at}{name}.example.{end}/x{k}" for name in ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x") for at in ("", "m.") for k, end in enumerate(("com", "net", "org"))]
+    good = [f"http://site{k}.example.{'com' if k % 4 else 'org'}/spam-farm.example.org/{k}" for k in range(300)] + ["http://not-spam-farm.example.org/"]
+    marked = urlfilter.labelled(spark.createDataFrame([(u,) for u in bad + good], "url string"))
+    assert {r["url"] for r in marked.filter("bad = 1").collect()} == set(bad)
+    _, stats, prior = urlfilter.fit(marked, train=20)
+    assert prior == len(bad) / len(bad + good)
+    for end in ("com", "net", "org"):
+        b, n = (sum(u.split("/")[2].endswith(f".example.{end}") for u in us) for us in (bad, bad + good))
+        assert stats[f"example.{end}"] == pytest.approx(((b + 20 * prior) / (n + 20), math.log1p(n)))
+    small = spark.read.parquet(f"{DATA}/pages.parquet")
+    assert urlfilter.score(small, urlfilter.fit(urlfilter.labelled(small))).filter("blocked").count() == 3
+
+
 def test_quality(spark, docs, labels, odd, none):
     model = quality.fit(docs, labels)
     got = quality.score(docs, model).join(labels, "doc_id").collect()
