@@ -11,11 +11,34 @@ import pyarrow as pa
 FLUSH = 1 << 21
 
 SCHEMA = "bucket int, keys binary, items binary, extra binary"
-_NAMES = ["bucket", "keys", "items", "extra"]
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets split the hash space evenly, by the high half of 64-bit keys."""
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+
+
+def blobs(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each bucket that occurs, with the values of each column as one blob, in their order."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, dtype=np.int64)
+    cuts = np.append(first, len(bucket))
+    arrays = [pa.array(bucket[first], pa.int32())]
+    for values in columns.values():
+        values = np.ascontiguousarray(values[order])
+        offsets = (cuts * values.itemsize).astype(np.int32)
+        arrays.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(values)]))
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", *columns])
+
+
+def joined(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
+    """The blobs of a column as one array."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
 
 
 class Packer:
-    """Collects (key, item, extra) triples and yields a row for each bucket; buckets split the hash space evenly."""
+    """Collects (key, item, extra) triples and yields a row for each bucket."""
 
     def __init__(self, buckets: int) -> None:
         self.buckets, self.held, self.size = buckets, [], 0
@@ -33,22 +56,16 @@ class Packer:
         keys = np.concatenate([k for k, _, _ in self.held])
         items = np.concatenate([np.full(len(k), i, dtype=np.int64) for k, i, _ in self.held])
         extra = np.concatenate([np.broadcast_to(np.asarray(e, dtype=np.int64), len(k)) for k, _, e in self.held])
-        yield from self.rows(keys, items, extra)
+        yield self.rows(keys, items, extra)
         self.held, self.size = [], 0
 
-    def rows(self, keys: np.ndarray, items: np.ndarray, extra: np.ndarray) -> Iterator[pa.RecordBatch]:
-        bucket = ((keys >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)
-        order = np.argsort(bucket.astype(np.int32), kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        used = [b for b in range(self.buckets) if cuts[b] < cuts[b + 1]]
-        parts = [[a[order[cuts[b] : cuts[b + 1]]].tobytes() for b in used] for a in (keys, items, extra)]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(p, pa.binary()) for p in parts)], _NAMES)
+    def rows(self, keys: np.ndarray, items: np.ndarray, extra: np.ndarray) -> pa.RecordBatch:
+        return blobs(bucket_of(keys, self.buckets), {"keys": keys, "items": items, "extra": extra})
 
 
 def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, items, extra) of one bucket, sorted by key, item, extra."""
-    kinds = (("keys", np.uint64), ("items", np.int64), ("extra", np.int64))
-    keys, items, extra = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in kinds)
+    keys, items, extra = (joined(table.column(c), t) for c, t in (("keys", np.uint64), ("items", np.int64), ("extra", np.int64)))
     order = np.lexsort((extra, items, keys))
     return keys[order], items[order], extra[order]
 

@@ -67,7 +67,7 @@ def _by_document(size: int):
     def hand(items: np.ndarray, extra: np.ndarray) -> pa.Table:
         if not len(items):
             return pa.table([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.binary(), pa.binary())], ["bucket", "keys", "items", "extra"])
-        return pa.Table.from_batches(packer.rows(mix(mix(items.view(np.uint64)) + (extra.view(np.uint64) >> np.uint64(32))), items, extra))
+        return pa.Table.from_batches([packer.rows(mix(mix(items.view(np.uint64)) + (extra.view(np.uint64) >> np.uint64(32))), items, extra)])
 
     return hand
 

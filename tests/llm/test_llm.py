@@ -207,7 +207,7 @@ def test_quality(spark, docs, labels, odd, none):
 
 
 def brute_pairs(rows):
-    sets = {i: set(partenum.features(np.frombuffer(t.encode(), np.uint8), 2)[0].tolist()) for i, t in rows.items()}
+    sets = {i: set(partenum.features(np.frombuffer(t.encode(), np.uint8), 2).tolist()) for i, t in rows.items()}
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b]) - 1e-9}
 
 
