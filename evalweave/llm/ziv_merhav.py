@@ -12,6 +12,9 @@ The reference is indexed by content. Its words (64-bit hashes salted by the lang
 shared folder; the places of its suffixes are shuffled to buckets by the hash of their first two words, whose
 number grows with the reference, and each bucket is written sorted by the first CAP words. Scoring tasks map
 these files and narrow the range of a suffix word by word; phrases of CAP words or more are compared in full.
+Sorted suffixes answer what the states of a suffix automaton would, and unlike it can be split over machines;
+automaton() is kept as the measure that tests hold them against. The driver holds a row a partition and
+language. The shared folder must be mounted as a file system on every machine (an error otherwise).
 
 Edge cases: null or blank text has no row. A null language is one of its own. A language without reference
 text scores as against an empty one. Labels with null doc_id or null values don't count; of several labels
@@ -33,12 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import arrow_batches, cut, gram_hashes, has_words, mix, shared_folder, word_bounds, word_hashes
+from evalweave.llm.common import arrow_batches, cut, gram_hashes, has_words, int64s, mix, sent_if_small, shared_folder, word_bounds, word_hashes
+from evalweave.llm.exchange import bucket_of
 
 #: Suffixes of the reference in a bucket, about.
 BUCKET = 1_000_000
 #: Words by which suffixes are sorted; words compared at once beyond them; suffixes compared at once.
 CAP, STEP, MANY = 16, 32, 1 << 15
+#: What tasks hand to a bucket: places of suffixes, words with the least and most text that holds them, texts that one document alone has.
+BLOBS = ("places", "words", "least", "most", "texts")
 
 
 def automaton(documents: list[list[str]]) -> list[dict[str, int]]:
@@ -133,10 +139,6 @@ def pairs(text: np.ndarray) -> np.ndarray:
     return gram_hashes(text, 2)
 
 
-def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
-
-
 def sorted_suffixes(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, distinct pair hashes, where each begins): places sorted by pair hash, then by the words up to CAP, then by place."""
     at = np.sort(at)
@@ -175,8 +177,7 @@ class Index:
 
     def __init__(self, folder: str, buckets: int) -> None:
         self.folder, self.buckets, self.open = folder, buckets, {}
-        self.text = np.memmap(f"{folder}/text", dtype=np.uint64, mode="r")
-        self.keys, self.alone, self.starts, self.ends, self.sorted_starts = (self.array(x) for x in ("keys", "alone", "starts", "ends", "sorted_starts"))
+        self.text, self.begins = np.memmap(f"{folder}/text", dtype=np.uint64, mode="r"), begins_of(folder)
 
     def array(self, name: str) -> np.ndarray:
         if name not in self.open:
@@ -184,12 +185,17 @@ class Index:
             self.open[name] = np.load(path, mmap_mode="r") if os.path.getsize(path) > 128 else np.load(path)
         return self.open[name]
 
-    def own(self, key: int) -> tuple[int, int]:
-        """Where the text that a document must not meet begins and ends; (-1, -1) for none."""
-        k = int(np.searchsorted(self.keys, key))
-        if k < len(self.keys) and self.keys[k] == key and self.alone[k]:
-            return int(self.starts[k]), int(self.ends[k])
-        return -1, -1
+    def own(self, keys: np.ndarray) -> np.ndarray:
+        """Where the text that each document must not meet begins and ends; (-1, -1) for none."""
+        out = np.full((len(keys), 2), -1, dtype=np.int64)
+        home = bucket_of(keys, self.buckets)
+        for b in np.unique(home).tolist():
+            i, texts = np.flatnonzero(home == b), self.array(f"texts-{b}")
+            if len(texts):
+                k = np.minimum(np.searchsorted(texts[:, 0], keys[i]), len(texts) - 1)
+                hit = texts[k, 0] == keys[i]
+                out[i[hit]] = texts[k[hit], 1:].view(np.int64)
+        return out
 
     def lengths(self, text: np.ndarray, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[int, int, int]]]:
         """Words, up to CAP, of the longest phrase at each place `at` of text, and for places of CAP words (bucket, from, to). own: where the text begins that a place must not meet, or -1."""
@@ -223,7 +229,7 @@ class Index:
                 # the range shares d words; it counts if it isn't all of the place's own text
                 met = lo < hi
                 mine = np.flatnonzero(met & (own[i] >= 0))
-                begins = self.sorted_starts[np.searchsorted(self.sorted_starts, places[lo[mine]], side="right") - 1]
+                begins = self.begins[np.searchsorted(self.begins, places[lo[mine]], side="right") - 1]
                 met[mine] = (begins != own[i[mine]]) | (runs[lo[mine]] < hi[mine])
                 i, lo, hi = i[met], lo[met], hi[met]
                 out[at[i]] = d
@@ -271,51 +277,62 @@ def _save(folder: str, name: str, values: np.ndarray) -> None:
     os.replace(part, f"{folder}/{name}.npy")
 
 
+def begins_of(folder: str) -> np.ndarray:
+    """Where the texts of a reference begin, in order."""
+    path = f"{folder}/begins"
+    return np.memmap(path, dtype=np.int64, mode="r") if os.path.getsize(path) else np.empty(0, dtype=np.int64)
+
+
 def indexed(reference: DataFrame, folder: str, bucket_words: int) -> tuple[int, dict[str, int]]:
     """Write the index of (key, alone, lang, salt, text), which must be cut, to a folder: (buckets, words of each language)."""
     spark = reference.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        part, texts, words = TaskContext.get().partitionId(), {}, {}
         for b in batches:
-            n = pa.array([len(t.lower().split()) for t in b.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), b.column("key"), b.column("alone"), b.column("lang"), n], ["part", "key", "alone", "lang", "n"])
-
-    texts = reference.mapInArrow(count, "part int, key long, alone boolean, lang string, n long").toArrow()
-    part, key, n = (texts.column(c).to_numpy() for c in ("part", "key", "n"))
-    alone = texts.column("alone").to_numpy(zero_copy_only=False)
-    order = np.argsort(part, kind="stable")  # texts of a part stay in their order
-    starts = np.empty(len(n), dtype=np.int64)
-    starts[order] = np.cumsum(n[order] + 1) - (n[order] + 1)
-    base: dict[int, int] = {}
-    for p, s in zip(part[order].tolist(), starts[order].tolist(), strict=True):
-        base.setdefault(p, s)
-    total = int((n + 1).sum())
-    by = np.argsort(key)
-    for name, values in (("keys", key[by]), ("alone", alone[by]), ("starts", starts[by]), ("ends", (starts + n)[by]), ("sorted_starts", np.sort(starts))):
-        _save(folder, name, values)
-    with open(f"{folder}/text", "wb") as f:
-        f.truncate(8 * (total + CAP + STEP))
-    buckets = max(1, -(-total // bucket_words))
+            for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                texts[lang] = texts.get(lang, 0) + 1
+                words[lang] = words.get(lang, 0) + len(t.lower().split())
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(texts), pa.int32()), "lang": pa.array(texts, pa.string()), "texts": pa.array(texts.values(), pa.int64()), "words": pa.array(words.values(), pa.int64())})
+
+    base: dict[int, tuple[int, int]] = {}  # of a part: its first word's place, its first text's number
     words: dict[str, int] = {}
-    for lang, k in zip(texts.column("lang").to_pylist(), n.tolist(), strict=True):
-        words[lang] = words.get(lang, 0) + k
+    at = number = 0
+    # a row a partition and language; texts of a part stay in their order
+    for r in sorted(reference.mapInArrow(count, "part int, lang string, texts long, words long").collect()):
+        base.setdefault(r["part"], (at, number))
+        at, number = at + r["words"] + r["texts"], number + r["texts"]
+        words[r["lang"]] = words.get(r["lang"], 0) + r["words"]
+    total = at
+    for name, size in (("text", total + CAP + STEP), ("begins", number)):
+        with open(f"{folder}/{name}", "wb") as f:
+            f.truncate(8 * size)
+    buckets = max(1, -(-total // bucket_words))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = base.get(TaskContext.get().partitionId(), 0)
-        with open(f"{folder}/text", "r+b") as f:
+        at, number = base.get(TaskContext.get().partitionId(), (0, 0))
+        with open(f"{folder}/text", "r+b") as f, open(f"{folder}/begins", "r+b") as g:
+            g.seek(8 * number)
             for b in batches:
-                parts, begins, here = [], [], at
+                parts, begins, firsts, here = [], [], [], at
                 for t, salt in zip(b.column("text").to_pylist(), b.column("salt").to_pylist(), strict=True):
                     h = hashes(t.lower().split(), salt)
                     parts += [h, np.zeros(1, dtype=np.uint64)]
                     begins.append(np.full(len(h) + 1, here, dtype=np.int64))
+                    firsts.append(here)
                     here += len(h) + 1
                 if not parts:
                     continue
                 text, begin = np.concatenate(parts), np.concatenate(begins)
                 f.seek(8 * at)
                 f.write(text.tobytes())
+                starts = np.array(firsts, dtype=np.int64)
+                g.write(starts.tobytes())
+                alone = b.column("alone").to_numpy(zero_copy_only=False).astype(bool)
+                key = int64s(b.column("key"))[alone]
+                known = np.stack([key, starts[alone], np.append(starts[1:], here)[alone] - 1], axis=1)
+                by = np.argsort(bucket_of(key.view(np.uint64), buckets), kind="stable")
+                known = known[by]
                 real = np.flatnonzero(text)
                 order = real[np.lexsort((begin[real], text[real]))]
                 first = np.flatnonzero(np.r_[True, text[order][1:] != text[order][:-1]])
@@ -324,15 +341,18 @@ def indexed(reference: DataFrame, folder: str, bucket_words: int) -> tuple[int,
                 home = bucket_of(pairs(text)[inner], buckets)
                 order = np.argsort(home, kind="stable")
                 inner, cuts, word_cuts = inner[order] + at, np.searchsorted(home[order], np.arange(buckets + 1)), np.searchsorted(bucket_of(word, buckets), np.arange(buckets + 1))
-                used = [k for k in range(buckets) if cuts[k] < cuts[k + 1] or word_cuts[k] < word_cuts[k + 1]]
-                columns = [[a[c[k] : c[k + 1]].tobytes() for k in used] for a, c in ((inner, cuts), (word, word_cuts), (least, word_cuts), (most, word_cuts))]
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "places", "words", "least", "most"])
+                text_cuts = np.searchsorted(bucket_of(known[:, 0].view(np.uint64), buckets), np.arange(buckets + 1))
+                used = np.flatnonzero((np.diff(cuts) > 0) | (np.diff(word_cuts) > 0) | (np.diff(text_cuts) > 0)).tolist()
+                columns = [[a[c[k] : c[k + 1]].tobytes() for k in used] for a, c in ((inner, cuts), (word, word_cuts), (least, word_cuts), (most, word_cuts), (known, text_cuts))]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", *BLOBS])
                 at = here
 
     def write(table: pa.Table) -> pa.Table:
         b = table.column("bucket")[0].as_py()
         at, word, least, most = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("places", np.int64), ("words", np.uint64), ("least", np.int64), ("most", np.int64)))
-        text, begins = np.memmap(f"{folder}/text", dtype=np.uint64, mode="r"), np.load(f"{folder}/sorted_starts.npy", mmap_mode="r")
+        text, begins = np.memmap(f"{folder}/text", dtype=np.uint64, mode="r"), begins_of(folder)
+        known = np.frombuffer(b"".join(table.column("texts").to_pylist()), dtype=np.uint64).reshape(-1, 3)
+        _save(folder, f"texts-{b}", known[np.argsort(known[:, 0])])
         at, keys, first = sorted_suffixes(text, at)
         begin = np.searchsorted(begins, at, side="right")
         last = np.flatnonzero(np.r_[begin[1:] != begin[:-1], True]) if len(at) else np.empty(0, dtype=np.int64)
@@ -346,8 +366,8 @@ def indexed(reference: DataFrame, folder: str, bucket_words: int) -> tuple[int,
         return pa.table([pa.array([b], pa.int32())], ["bucket"])
 
     # every bucket has files, if empty ones
-    every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), *(F.lit(b"").alias(c) for c in ("places", "words", "least", "most")))
-    rows = reference.mapInArrow(place, "bucket int, places binary, words binary, least binary, most binary").union(every)
+    every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), *(F.lit(b"").alias(c) for c in BLOBS))
+    rows = reference.mapInArrow(place, "bucket int, " + ", ".join(f"{c} binary" for c in BLOBS)).union(every)
     # texts are in their file before any bucket is sorted: a shuffle lies between
     rows.groupBy("bucket").applyInArrow(write, "bucket int").count()
     return buckets, words
@@ -362,11 +382,14 @@ def scores(docs: DataFrame, labels: DataFrame, bucket_words: int = BUCKET) -> Da
     best = (
         labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("q"), F.max(F.col("toxic").cast("int")).alias("t")).filter("q = 1 AND t = 0").select("doc_id")
     )
-    referenced = docs.join(F.broadcast(best), "doc_id", "left_semi").dropDuplicates(["key"])  # ids go to the texts, not texts to the ids
+    best = sent_if_small(cut(best), 500_000)  # up to a few MB of ids go to the texts; beyond, both are shuffled
+    referenced = docs.join(best, "doc_id", "left_semi").dropDuplicates(["key"])
     holders = docs.groupBy("key").agg((F.countDistinct("doc_id") + F.count_if(F.col("doc_id").isNull()) == 1).alias("alone"))
     reference = cut(referenced.join(holders, "key").select("key", "alone", "lang", F.xxhash64("lang").alias("salt"), "text"))
-    home = shared_folder(spark).removeprefix("file://").removeprefix("file:")
-    folder = f"{home}/ziv-merhav-{uuid.uuid4().hex}"
+    home = shared_folder(spark)
+    if ":" in home.removeprefix("file:").split("/")[0]:
+        raise ValueError(f"the index needs a shared folder that is mounted as a file system, not {home}")
+    folder = f"{home.removeprefix('file://').removeprefix('file:')}/ziv-merhav-{uuid.uuid4().hex}"
     os.makedirs(folder)
     try:
         return cut(_scored(docs, folder, *indexed(reference, folder, bucket_words)))
@@ -379,17 +402,17 @@ def _scored(docs: DataFrame, folder: str, buckets: int, words_of: dict[str, int]
         index = Index(folder, buckets)
         for b in batches:
             texts = [t.lower().split() for t in b.column("text").to_pylist()]
-            lines, owns, begins, here = [], [], [], 0
-            for words, salt, key in zip(texts, b.column("salt").to_pylist(), b.column("key").to_pylist(), strict=True):
+            lines, begins, here = [], [], 0
+            owns = index.own(int64s(b.column("key")).view(np.uint64))
+            for words, salt in zip(texts, b.column("salt").to_pylist(), strict=True):
                 lines += [hashes(words, salt), np.ones(1, dtype=np.uint64)]
-                owns.append(index.own(key))
                 begins.append(here)
                 here += len(words) + 1
             text = np.concatenate([*lines, np.ones(CAP + STEP, dtype=np.uint64)])
             at = np.flatnonzero(text > 1)
-            lengths, found = index.lengths(text, at, np.repeat(np.array([o[0] for o in owns], dtype=np.int64), [len(w) for w in texts]))
+            lengths, found = index.lengths(text, at, np.repeat(owns[:, 0], [len(w) for w in texts]))
             rows = []
-            for i, lang, words, own, begin in zip(b.column("doc_id").to_pylist(), b.column("lang").to_pylist(), texts, owns, begins, strict=True):
+            for i, lang, words, own, begin in zip(b.column("doc_id").to_pylist(), b.column("lang").to_pylist(), texts, owns.tolist(), begins, strict=True):
                 n, k, cross = len(words), 0, 0
                 steps = lengths[begin : begin + n].tolist()
                 while k < n:
