@@ -1,23 +1,29 @@
 """Suffix-array dedup: word passages that occur more than once, by bucket-pointer refinement.
 
 A suffix is a word position of a document; sorting all suffixes would bring equal passages together.
-Only suffixes that can share min_words words with another are sorted, in two steps:
+Only suffixes that can share min_words words with another are sorted.
 
 1. Initial buckets: the q-gram (q = half of min_words) at a suffix names its bucket. Every passage of
-   min_words words holds min_words - q + 1 q-grams, and the least of their hashes is at the same place in
+   min_words words holds min_words - q + 1 q-grams, and the least of their names is at the same place in
    each copy; only suffixes at such least q-grams are put in buckets (about 2 of min_words - q + 2). A
    suffix alone in its bucket is in its final place and is dropped.
 2. Refinement: each suffix whose passage holds a q-gram with company is sorted on its own bucket and on
-   the bucket to which the offset min_words - q points, so that its new bucket is its first min_words
-   words. Bucket names are hashes of contents, the same wherever they are computed, so that a pointer
-   is followed by reading the name at the later offset, without another exchange, and a refined name is
-   made of the two refined from. Suffixes that are then alone are dropped.
+   the bucket to which a later offset points, so that its new bucket is its first min_words words.
+
+Bucket names are made by the same refinement from single words on: the name of 2k words is made of the names of
+k words at a suffix and at offset k, each level reusing the names of the one before (so names() doubles from
+one word to q, and the last step points min_words - q ahead). Names hang on contents alone, the same
+wherever they are computed, so that a pointer is followed by reading the name at the later offset; only
+the levels q and min_words, which drop suffixes, need an exchange. A text is cut on 128 bits of name.
 
 Of the suffixes in a bucket the first, by doc_id and position, is the one to keep; the words that any
-other covers are repeats. Each exchange moves packed 64-bit names, a small share of the input.
+other covers are repeats. Where suffixes of one bucket meet within a task, only the first is sent to the
+bucket; the others are known to have company and to be repeats, and go straight to their documents. So a passage that
+millions of documents share sends a suffix a task, not millions, to one place.
 
 Edge cases: null, blank or short texts have no passage. Rows with one doc_id are told apart by a hash of
-their texts; repeated rows (same id, same text) share one verdict and aren't repeats of each other.
+their texts; repeated rows (same id, same text) share one verdict and aren't repeats of each other. A
+passage may overlap itself ("a a a ..."): its first suffix is kept and all words that a later one covers are repeats.
 Null doc_id sorts first. Other columns are untouched; an empty table gives an empty result.
 """
 
@@ -32,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.llm.common import arrow_batches, fresh, gram_hashes, has_words, int64s, mix, raw_texts, word_bounds, word_hashes
-from evalweave.llm.exchange import SCHEMA, Packer, buckets_for, packed, unpack
+from evalweave.llm.exchange import FLUSH, SCHEMA, Packer, blobs, bucket_of, buckets_for, joined, unpack
 
 MIN_WORDS = 50
 NULL_ID = -(2**63)
@@ -43,7 +49,17 @@ def names(raw: np.ndarray, q: int) -> np.ndarray:
     starts, ends = word_bounds(raw)
     if len(starts) < q:
         return np.empty(0, dtype=np.uint64)
-    return gram_hashes(word_hashes(raw, starts, ends), q)
+    name, k = word_hashes(raw, starts, ends), 1
+    while k < q:
+        ahead = min(k, q - k)
+        name = refined(name, ahead)
+        k += ahead
+    return name
+
+
+def refined(name: np.ndarray, ahead: int) -> np.ndarray:
+    """New names of suffixes, made of their own names and those at an offset."""
+    return mix(name[:-ahead] * np.uint64(3) + mix(name[ahead:] + np.uint64(ahead)))
 
 
 def least(name: np.ndarray, window: int) -> np.ndarray:
@@ -72,6 +88,46 @@ def _by_document(size: int):
     return hand
 
 
+class Suffixes:
+    """Collects (name, check, document, place) of suffixes and sends of each name in hand only the first to its bucket.
+
+    The low bit of extra says that a suffix has company. The others, which have company and aren't first, have
+    the bucket -1 - k, k being a bucket of their document.
+    """
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets, self.held, self.size = buckets, [], 0
+
+    def add(self, name: np.ndarray, check: np.ndarray, item: int, h: int, at: np.ndarray) -> None:
+        self.held.append((name, check, np.full(len(name), item, dtype=np.int64), (h << 32) | (at.astype(np.int64) << 1)))
+        self.size += len(name)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            name, check, item, extra = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            self.held, self.size = [], 0
+            name, check, item, extra, company, first = settled(name, check, item, extra)
+            extra = extra | company
+            bucket = np.where(first, bucket_of(name, self.buckets), -1 - (mix(item.view(np.uint64)) % np.uint64(self.buckets)).astype(np.int32))
+            yield blobs(bucket.astype(np.int32), {"keys": name, "checks": check, "items": item, "extra": extra})
+
+
+def settled(name: np.ndarray, check: np.ndarray, item: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Suffixes sorted by name, document and place, each once, with (has company, is the first of its name)."""
+    order = np.lexsort((extra, item, check, name))
+    name, check, item, extra = name[order], check[order], item[order], extra[order]
+    place = extra >> 1
+    same = (name[1:] == name[:-1]) & (check[1:] == check[:-1])
+    new = np.ones(len(name), dtype=bool)  # repeated rows give one suffix twice
+    new[1:] = ~same | (item[1:] != item[:-1]) | (place[1:] != place[:-1])
+    start = np.flatnonzero(new)
+    known = np.bitwise_or.reduceat(extra & 1, start) if len(start) else extra
+    name, check, item, extra = name[start], check[start], item[start], extra[start] & ~1
+    same = (name[1:] == name[:-1]) & (check[1:] == check[:-1])
+    before, after = np.concatenate([[False], same]), np.concatenate([same, [False]])
+    return name, check, item, extra, (before | after | (known == 1))[: len(name)].astype(np.int64), ~before[: len(name)]
+
+
 def _documents(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray]]:
     """(doc_id, text hash, sorted payloads) of each document in a bucket."""
     _, items, extra = unpack(table)
@@ -81,20 +137,6 @@ def _documents(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray]]:
         yield int(items[a]), int(text[a]), extra[a:b] & 0xFFFFFFFF
 
 
-def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(has company, is first) of each of the sorted keys."""
-    same = keys[1:] == keys[:-1]
-    before, after = np.concatenate([[False], same]), np.concatenate([same, [False]])
-    return before | after, ~before
-
-
-def _distinct(keys: np.ndarray, items: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Without repeats of one suffix, which come from repeated rows."""
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (items[1:] != items[:-1]) | (extra[1:] != extra[:-1])
-    return keys[new], items[new], extra[new]
-
-
 def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_hash, repeats, kept): of each document with a repeated passage, the word spans.
 
@@ -108,25 +150,42 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     docs = docs.withColumn("h", text_hash(F.col("text")))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
-    def start(packer: Packer, b: pa.RecordBatch) -> None:
+    def flushed(make):
+        """A mapInArrow function: `make` adds a batch's suffixes."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = Suffixes(many)
+            for b in batches:
+                make(held, b)
+                if held.size >= FLUSH // 2:
+                    yield from held.flush()
+            yield from held.flush()
+
+        return run
+
+    def start(held: Suffixes, b: pa.RecordBatch) -> None:
         for i, h, raw in zip(int64s(b.column("doc_id")), int64s(b.column("h")), raw_texts(b.column("text")), strict=True):
             name = names(raw, q)
             at = least(name, ahead + 1)
             if len(at):
-                packer.add(name[at], i, (h << 32) | at)
+                held.add(name[at], np.zeros(len(at), dtype=np.uint64), i, h, at)
 
-    def bucket(table: pa.Table) -> pa.Table:
-        keys, items, extra = _distinct(*unpack(table))
-        company, _ = _runs(keys)
-        return hand(items[company], extra[company])
+    def settle(table: pa.Table) -> pa.Table:
+        """Company, and the place of the first, to the documents: extra is text hash << 32 | place << 1 | first."""
+        name, check, item, extra = (joined(table.column(c), t) for c, t in (("keys", np.uint64), ("checks", np.uint64), ("items", np.int64), ("extra", np.int64)))
+        if table.column("bucket")[0].as_py() < 0:
+            return hand(item, extra & ~1)
+        _, _, item, extra, company, first = settled(name, check, item, extra)
+        some = company == 1
+        return hand(item[some], extra[some] | first[some])
 
     def anchors(table: pa.Table) -> pa.Table:
-        ids, hashes, blobs = [], [], []
+        ids, hashes, found = [], [], []
         for i, h, at in _documents(table):
-            ids.append(i), hashes.append(h), blobs.append(at.astype(np.int32).tobytes())
-        return pa.table([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(blobs, pa.binary())], ["i", "g", "anchors"])
+            ids.append(i), hashes.append(h), found.append((at >> 1).astype(np.int32).tobytes())
+        return pa.table([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(found, pa.binary())], ["i", "g", "anchors"])
 
-    def refine(packer: Packer, b: pa.RecordBatch) -> None:
+    def refine(held: Suffixes, b: pa.RecordBatch) -> None:
         cols = (int64s(b.column("doc_id")), int64s(b.column("h")), raw_texts(b.column("text")), b.column("anchors").to_pylist())
         for i, h, raw, blob in zip(*cols, strict=True):
             name = names(raw, q)
@@ -136,12 +195,8 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             np.add.at(touched, np.maximum(at - ahead, 0), 1)
             np.add.at(touched, np.minimum(at + 1, n), -1)
             at = np.flatnonzero(np.cumsum(touched[:n]) > 0)
-            packer.add(mix(name[at] + mix(name[at + ahead])), i, (h << 32) | (at << 1))
-
-    def settle(table: pa.Table) -> pa.Table:
-        keys, items, extra = _distinct(*unpack(table))
-        company, first = _runs(keys)
-        return hand(items[company], extra[company] | first[company])
+            starts, ends = word_bounds(raw)
+            held.add(refined(name, ahead)[at], gram_hashes(word_hashes(raw, starts, ends), min_words)[at], i, h, at)
 
     def cover(table: pa.Table) -> pa.Table:
         rows = []
@@ -157,13 +212,14 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), kind, kind), strict=True)], ["doc_id", "text_hash", "repeats", "kept"])
 
-    hand = _by_document(size // 16)
-    buckets = docs.mapInArrow(packed(start, buckets_for(size // 64)), SCHEMA).groupBy("bucket").applyInArrow(bucket, SCHEMA)
+    hand, many = _by_document(size // 16), buckets_for(size // 16)
+    sent = "bucket int, keys binary, checks binary, items binary, extra binary"
+    buckets = docs.mapInArrow(flushed(start), sent).groupBy("bucket").applyInArrow(settle, SCHEMA)
     live = buckets.groupBy("bucket").applyInArrow(anchors, "i long, g long, anchors binary")
     met = docs.join(live, F.coalesce("doc_id", F.lit(NULL_ID)).eqNullSafe(F.col("i")) & (docs["h"] == live["g"])).select("doc_id", "h", "text", "anchors")
-    refined = met.mapInArrow(packed(refine, buckets_for(size // 16)), SCHEMA).groupBy("bucket").applyInArrow(settle, SCHEMA)
+    refined_rows = met.mapInArrow(flushed(refine), sent).groupBy("bucket").applyInArrow(settle, SCHEMA)
     place = "array<struct<start_word: int, end_word: int>>"
-    return refined.groupBy("bucket").applyInArrow(cover, f"doc_id long, text_hash long, repeats {place}, kept {place}")
+    return refined_rows.groupBy("bucket").applyInArrow(cover, f"doc_id long, text_hash long, repeats {place}, kept {place}")
 
 
 def text_hash(text: Column) -> Column:
