@@ -1,21 +1,26 @@
 """Approximate nearest neighbours: inverted lists scanned dimension by dimension, with early abandoning.
 
 Vectors are made unit length, rotated by a random orthogonal matrix and assigned to the nearest of about
-sqrt(n) centres, which are fitted on a bounded sample. Every vector is a query; it probes the lists of
-its nearest centres. How many is measured: on a sample of queries with known neighbours, the fewest lists
-that reach the wanted recall. Lists are grouped into shards of nearby centres; a query goes once to each
-shard that has a list it probes. In a list, distances are first taken over the leading block of
-rotated dimensions, then block by block. After d of D dimensions a candidate is abandoned if its partial
-distance, scaled by D/d, exceeds the query's kth distance so far times (1 + SLACK/sqrt(d))**2: the test
-of the hypothesis that its full distance is less. The k best of all shards are merged.
+sqrt(n) centres (k-means in rounds over a sample of 32 vectors a centre; the driver holds the centres only). Every vector is
+a query. It is first compared with all of its own list, which bounds its kth distance; then it probes the
+lists of its nearest centres. How many is measured: on a sample of queries with known neighbours, the fewest
+lists that reach the wanted recall. Lists are grouped into shards of nearby centres, about SHARD vectors each;
+a query goes once to each shard that has a list it probes, and passes by the shard's vectors in batches, so that a
+task holds one shard whatever the number of queries. Within a list, distances are taken over blocks of the
+rotated dimensions. After d of D dimensions a candidate is abandoned if its partial distance, scaled by D/d,
+exceeds the bound times (1 + SLACK/sqrt(d))**2: the test of the hypothesis that its full distance is less.
+While many candidates are left a block is taken for all of them at once, else for the ones left. What
+stays is measured in doubles, and the k best of all shards are merged.
 
 Edge cases: null, empty, zero or non-finite vectors, null ids and lengths other than the commonest neither
-ask nor answer. Rows that repeat an id count once, with the least vector; ties go to the smaller id. An
-empty table gives an empty result.
+ask nor answer. Rows that repeat an id count once, with the least vector; equal distances go to the smaller id, whatever
+the order of rows. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -29,11 +34,12 @@ BLOCK = 16
 SLACK = 2.1
 SHARD = 8192
 SAMPLE = 128
+ROUNDS = 6
 
 
 def rotation(d: int, seed: int = 6) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
-    return (q * np.sign(np.diag(r))).astype(np.float32)
+    return q * np.sign(np.diag(r))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -50,28 +56,55 @@ def unit_vectors(vectors: DataFrame) -> tuple[DataFrame, int, int]:
         return good.select("id", F.lit(b"").alias("v")), 0, 0
     turn = rotation(dims["dim"])
 
-    def prepare(batches):
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
                 v = np.array(b.column("v").flatten()).reshape(len(b), -1).astype(np.float64)
-                v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32) @ turn
+                v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])  # so that no square over- or underflows
+                v = v / np.sqrt((v * v).sum(axis=1))[:, None]
+                v = np.einsum("ij,jk->ik", v, turn).astype(np.float32)  # not by blocks: equal rows stay equal
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in v], pa.binary())], ["id", "v"])
 
     return good.filter(F.size("v") == dims["dim"]).mapInArrow(prepare, "id long, v binary"), dims["count"], dims["dim"]
 
 
-def centres(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 6) -> np.ndarray:
-    """Centres by k-means, ordered so that nearby ones have nearby numbers."""
-    rng = np.random.default_rng(seed)
-    c = sample[rng.permutation(len(sample))[:lists]].copy()
+def centres(made: DataFrame, n: int, lists: int, rounds: int = ROUNDS) -> np.ndarray:
+    """About `lists` centres by k-means over a sample, ordered so that nearby ones have nearby numbers."""
+    spark = made.sparkSession
+    order = F.xxhash64("id", F.lit(6))
+    c = _matrix(made.orderBy(order, "id").limit(lists).toArrow().column("v")).copy()
+    some = made.filter(share(F.col("id"), 1 << 20, 6) < min(1 << 20, -(-(32 * lists << 20) // n)))
+
+    def add(near: np.ndarray, total: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        used = np.unique(near)
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([total[k].tobytes() for k in used], pa.binary()), pa.array(size[used])], ["list", "total", "size"])
+
     for _ in range(rounds):
-        near = _nearest(sample, c, 1)[:, 0]
-        size = np.bincount(near, minlength=len(c))
-        for j in range(sample.shape[1]):
-            total = np.bincount(near, weights=sample[:, j], minlength=len(c))
-            c[:, j] = np.where(size > 0, total / np.maximum(size, 1), c[:, j])
+        shared = spark.sparkContext.broadcast(c)
+
+        def assign(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            c = shared.value
+            total, size = np.zeros(c.shape), np.zeros(len(c), dtype=np.int64)
+            for b in batches:
+                if len(b):
+                    x = _matrix(b.column("v"))
+                    near = _nearest(x, c, 1)[:, 0]
+                    np.add.at(total, near, x)
+                    size += np.bincount(near, minlength=len(c))
+            if size.any():
+                yield add(np.flatnonzero(size), total, size)
+
+        def merge(table: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(t) for t in table.column("total").to_pylist())
+            n = sum(table.column("size").to_pylist())
+            return pa.table({"list": table.column("list")[:1], "mean": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
+
+        got = some.mapInArrow(assign, "list int, total binary, size long").groupBy("list").applyInArrow(merge, "list int, mean binary").toArrow()
+        if got.num_rows:  # a row a centre
+            c = c.copy()
+            c[got.column("list").to_numpy()] = _matrix(got.column("mean"))
     top = np.linalg.svd(c - c.mean(axis=0), full_matrices=False)[2][0]
-    return c[np.argsort(c @ top)]
+    return c[np.argsort(c @ top, kind="stable")]
 
 
 def _nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
@@ -92,10 +125,12 @@ def probes_for(stored: DataFrame, ids: np.ndarray, queries: np.ndarray, c: np.nd
     """The fewest lists that hold the share `recall` of the sampled queries' true neighbours."""
     shared = stored.sparkSession.sparkContext.broadcast((ids, queries))
 
-    def best(batches):
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q = shared.value
         held = None
         for b in batches:
+            if not len(b):
+                continue
             x, xid = _matrix(b.column("v")), b.column("id").to_numpy()
             s = q @ x.T
             s[qid[:, None] == xid[None, :]] = -9
@@ -120,47 +155,43 @@ def probes_for(stored: DataFrame, ids: np.ndarray, queries: np.ndarray, c: np.nd
     return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1 if len(need) else 1
 
 
-def scan(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, best: np.ndarray, who: np.ndarray) -> None:
-    """Merge a list's candidates into the k best (squared distances and ids) of some queries, in place."""
-    d, k = q.shape[1], best.shape[1]
-    for z in range(0, len(c), 1024):
-        x, xid = c[z : z + 1024], cid[z : z + 1024]
-        limit = best[:, -1]
-        part = _block(q, x, 0, BLOCK)
-        part[qid[:, None] == xid[None, :]] = np.inf
-        at = min(BLOCK, d)
-        r, j = np.nonzero(part * (d / at) <= (limit * (1 + SLACK / np.sqrt(at)) ** 2)[:, None])
-        part = part[r, j]
-        real = np.isfinite(part)
-        r, j, part = r[real], j[real], part[real]
-        while at < d and len(r):
-            to = min(at + BLOCK, d)
-            diff = q[r, at:to] - x[j, at:to]
-            part = part + np.einsum("ij,ij->i", diff, diff)
-            at = to
-            scale = (1 + SLACK / np.sqrt(at)) ** 2 if at < d else 1.0
-            stay = part * (d / at) <= limit[r] * scale
-            r, j, part = r[stay], j[stay], part[stay]
-        if not len(r):
-            continue
-        dense = np.full((len(q), len(x)), np.inf, dtype=np.float32)
-        dense[r, j] = part
-        hit = np.unique(r)
-        both = np.concatenate([best[hit], dense[hit]], axis=1)
-        names = np.concatenate([who[hit], np.broadcast_to(xid, (len(hit), len(xid)))], axis=1)
-        top = np.lexsort((names, both), axis=1)[:, :k] if both.shape[1] < 64 else _smallest(both, names, k)
-        best[hit], who[hit] = np.take_along_axis(both, top, axis=1), np.take_along_axis(names, top, axis=1)
-
-
-def _smallest(both: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
-    some = np.argpartition(both, min(2 * k, both.shape[1] - 1), axis=1)[:, : 2 * k]
-    order = np.lexsort((np.take_along_axis(names, some, axis=1), np.take_along_axis(both, some, axis=1)), axis=1)
-    return np.take_along_axis(some, order, axis=1)[:, :k]
-
-
-def _block(q: np.ndarray, x: np.ndarray, low: int, high: int) -> np.ndarray:
-    a, b = q[:, low:high], x[:, low:high]
-    return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T), 0)
+def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Squared distances of rows, in doubles, the same for equal pairs wherever they are."""
+    d = q.astype(np.float64) - x
+    return np.einsum("ij,ij->i", d, d)
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    """Squared lengths of each block of dimensions, a row a block."""
+    return np.stack([(x[:, k : k + BLOCK] ** 2).sum(axis=1) for k in range(0, x.shape[1], BLOCK)])
+
+
+def scan(q: np.ndarray, qn: np.ndarray, limit: np.ndarray, x: np.ndarray, xn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of q, rows of x) that the tests leave, which may lie within the squared distances `limit` of the queries."""
+    d = q.shape[1]
+    part = qn[0][:, None] + xn[0][None, :] - 2 * (q[:, :BLOCK] @ x[:, :BLOCK].T)
+    at = min(BLOCK, d)
+
+    def most(at: int) -> np.ndarray:
+        scale = (1 + SLACK / np.sqrt(at)) ** 2 * (at / d) if at < d else 1 + 1e-5
+        return (limit * scale + 1e-6).astype(np.float32)
+
+    alive = part <= most(at)[:, None]
+    while at < d and np.count_nonzero(alive) * 8 > alive.size:
+        b, to = at // BLOCK, min(at + BLOCK, d)
+        part += qn[b][:, None] + xn[b][None, :] - 2 * (q[:, at:to] @ x[:, at:to].T)
+        at = to
+        alive &= part <= most(at)[:, None]
+    r, j = np.nonzero(alive)
+    part = part[r, j]
+    while at < d and len(r):
+        to = min(at + BLOCK, d)
+        diff = q[r, at:to] - x[j, at:to]
+        part = part + np.einsum("ij,ij->i", diff, diff)
+        at = to
+        stay = part <= most(at)[r]
+        r, j, part = r[stay], j[stay], part[stay]
+    return r, j
 
 
 def neighbours(vectors: DataFrame, k: int = K, recall: float = RECALL) -> DataFrame:
@@ -168,68 +199,98 @@ def neighbours(vectors: DataFrame, k: int = K, recall: float = RECALL) -> DataFr
     spark = vectors.sparkSession
     arrow_batches(spark)
     made, n, d = unit_vectors(vectors)
-    out = "vec_id long, neighbour_id long, distance double"
     if n < 2:
         return spark.createDataFrame([], "vec_id long, neighbour_id long, place long, distance double")
-    lists = max(1, round(n**0.5))
     made = cut(made)
-    # 32 vectors a centre: grows as the square root of the table
-    some = made.filter(share(F.col("id"), 1 << 20, 6) < min(1 << 20, -(-(32 * lists << 20) // n))).toArrow()
-    sample, sample_ids = _matrix(some.column("v")), some.column("id").to_numpy()
-    if not len(sample):
-        some = made.limit(lists).toArrow()
-        sample, sample_ids = _matrix(some.column("v")), some.column("id").to_numpy()
-    order = np.argsort(sample_ids)
-    sample, sample_ids = sample[order], sample_ids[order]
-    c = centres(sample, lists)
+    c = centres(made, n, max(1, round(n**0.5)))
     lists = len(c)
-    shared = spark.sparkContext.broadcast(c)
+    shared = spark.sparkContext.broadcast(c)  # sqrt(n) rows
 
-    def assign(batches):
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(_nearest(_matrix(b.column("v")), shared.value, 1)[:, 0].astype(np.int32))], ["id", "v", "list"])
 
-    stored = cut(made.mapInArrow(assign, "id long, v binary, list int"))
-    pick = np.random.default_rng(6).permutation(len(sample))[:SAMPLE]
-    probes = probes_for(stored, sample_ids[pick], sample[pick], c, k, recall)
+    def bound(table: pa.Table) -> pa.Table:
+        """A list with the distance of each vector's kth neighbour within it, infinite if it has fewer, in order of ids."""
+        table = table.sort_by("id")
+        x, got = _matrix(table.column("v")), []
+        for z in range(0, len(x), 1024):
+            far = (x[z : z + 1024] ** 2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :] - 2 * (x[z : z + 1024] @ x.T)
+            far[np.arange(len(far)), z + np.arange(len(far))] = np.inf
+            got.append(np.partition(far, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(far), np.inf))
+        limit = np.concatenate(got)
+        return table.append_column("bound", pa.array(np.minimum(limit, 4.0).astype(np.float64) + 1e-5))
+
+    stored = cut(made.mapInArrow(assign, "id long, v binary, list int").groupBy("list").applyInArrow(bound, "id long, v binary, list int, bound double"))
+    pick = stored.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(SAMPLE).toArrow()
+    probes = min(lists, probes_for(stored, pick.column("id").to_numpy(), _matrix(pick.column("v")), c, k, recall))
     shards = max(1, -(-n // SHARD))
-    turns = max(1, -(-n // (4 * SHARD)))  # queries of one shard are split, so that no task holds too many
 
-    def spread(batches):
-        for b in batches:
-            if not len(b):
-                continue
-            v = _matrix(b.column("v"))
-            near = _nearest(v, shared.value, min(probes, lists))
-            shard = near * shards // lists
-            ids, blobs = b.column("id").to_numpy(), b.column("v").to_pylist()
-            rows = [(s, r, near[r, shard[r] == s]) for r in range(len(ids)) for s in np.unique(shard[r])]
-            cols = [pa.array([int(s) for s, _, _ in rows], pa.int32()), pa.array([int(ids[r]) for _, r, _ in rows], pa.int64()), pa.array([blobs[r] for _, r, _ in rows], pa.binary()), pa.array([p.astype(np.int32).tobytes() for _, _, p in rows], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["shard", "id", "v", "probed"])
-
-    asked = stored.mapInArrow(spread, "shard int, id long, v binary, probed binary").withColumn("turn", share(F.col("id"), turns, 3).cast("int"))
-    given = stored.withColumn("place", F.expr(f"list * {shards}L div {lists}").cast("int")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"vec_id": pa.array([], pa.int64()), "neighbour_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        q, qid = _matrix(left.column("v")), left.column("id").to_numpy()
-        probed = [np.frombuffer(p, dtype=np.int32) for p in left.column("probed").to_pylist()]
-        row, which = np.repeat(np.arange(len(q)), [len(p) for p in probed]), np.concatenate(probed)
-        c, cid, home = _matrix(right.column("v")), right.column("id").to_numpy(), right.column("list").to_numpy()
-        best, who = np.full((len(q), k), np.inf, dtype=np.float32), np.full((len(q), k), -1, dtype=np.int64)
-        by = np.argsort(home, kind="stable")
-        for one in np.unique(home):
-            rows, cand = row[which == one], by[np.searchsorted(home[by], one) : np.searchsorted(home[by], one, side="right")]
-            for z in range(0, len(rows), 2048):
-                r = rows[z : z + 2048]
-                b, w = best[r], who[r]
-                scan(q[r], qid[r], c[cand], cid[cand], b, w)
-                best[r], who[r] = b, w
-        r, j = np.nonzero(np.isfinite(best))
-        return pa.table({"vec_id": qid[r], "neighbour_id": who[r, j], "distance": best[r, j].astype(np.float64)})
-
-    found = asked.groupBy("shard", "turn").cogroup(given.groupBy("place", "round")).applyInArrow(search, out)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector as an answer in its own shard (asks: 0), and as a query (1) in every shard it probes."""
+        for whole in batches:
+            for z in range(0, len(whole), 1024):
+                b = whole.slice(z, 1024)
+                if not len(b):
+                    continue
+                near = _nearest(_matrix(b.column("v")), shared.value, probes)
+                place = np.arange(len(b))[:, None] * shards + near * shards // lists
+                to = np.unique(place)
+                row, home = pa.array(to // shards), b.column("list").to_numpy().astype(np.int64) * shards // lists
+                order = np.argsort(place, axis=None, kind="stable")
+                cuts = np.searchsorted(place.ravel()[order], np.append(to, to[-1] + 1)).astype(np.int32) * 4
+                probed = pa.Array.from_buffers(pa.binary(), len(to), [None, pa.py_buffer(cuts), pa.py_buffer(near.ravel()[order].astype(np.int32))])
+                names = ["shard", "asks", "id", "v", "list", "bound", "probed"]
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(np.zeros(len(b), dtype=np.int32)), b.column("id"), b.column("v"), b.column("list"), b.column("bound"), pa.nulls(len(b), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array((to % shards).astype(np.int32)), pa.array(np.ones(len(to), dtype=np.int32)), b.column("id").take(row), b.column("v").take(row), b.column("list").take(row), b.column("bound").take(row), probed], names)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by shard, answers first."""
+        now, answers, x = None, [], None
+        for whole in batches:
+            tag = whole.column("shard").to_numpy().astype(np.int64) * 2 + whole.column("asks").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], tag[1:] != tag[:-1], [True]])) if len(tag) else np.zeros(1, dtype=np.int64)
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                b, shard = whole.slice(a, z - a), int(tag[a]) >> 1
+                if shard != now:
+                    now, answers, x = shard, [], None
+                if not tag[a] & 1:
+                    answers.append((_matrix(b.column("v")), b.column("id").to_numpy(), b.column("list").to_numpy()))
+                    continue
+                if not answers:
+                    continue
+                if x is None:
+                    x, xid, home = (np.concatenate(p) for p in zip(*answers, strict=True))
+                    by = np.argsort(home, kind="stable")
+                    x, xid, home, xn = x[by], xid[by], home[by], _norms(x[by])
+                    used, first = np.unique(home, return_index=True)
+                    ends = np.append(first[1:], len(home))
+                q, qid, limit = _matrix(b.column("v")), b.column("id").to_numpy(), b.column("bound").to_numpy()
+                blobs = b.column("probed").to_pylist()
+                row, which = np.repeat(np.arange(len(q)), [len(p) // 4 for p in blobs]), np.frombuffer(b"".join(blobs), dtype=np.int32)
+                by = np.argsort(which, kind="stable")
+                row, which = row[by], which[by]
+                qn, found = _norms(q), []
+                for one, f, e in zip(used.tolist(), first.tolist(), ends.tolist(), strict=True):
+                    rows = row[np.searchsorted(which, one) : np.searchsorted(which, one, side="right")]
+                    for y in range(f, e, 4096):
+                        if len(rows):
+                            r, j = scan(q[rows], qn[:, rows], limit[rows], x[y : min(e, y + 4096)], xn[:, y : min(e, y + 4096)])
+                            found.append((rows[r], j + y))
+                if not found:
+                    continue
+                r, j = (np.concatenate(p) for p in zip(*found, strict=True))
+                other = qid[r] != xid[j]
+                r, j = r[other], j[other]
+                far = exact(q[r], x[j])
+                order = np.lexsort((xid[j], far, r))
+                r, j, far = r[order], j[order], far[order]
+                best = np.arange(len(r)) - np.searchsorted(r, r) < k
+                yield pa.RecordBatch.from_arrays([pa.array(qid[r[best]]), pa.array(xid[j[best]]), pa.array(far[best])], ["vec_id", "neighbour_id", "distance"])
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
+    sent = stored.mapInArrow(spread, "shard int, asks int, id long, v binary, list int, bound double, probed binary")
+    found = sent.repartition(tasks, "shard").sortWithinPartitions("shard", "asks").mapInArrow(search, "vec_id long, neighbour_id long, distance double")
     ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbour_id")).cast("long"))
     return ranked.filter(F.col("place") <= k).select("vec_id", "neighbour_id", "place", "distance")
