@@ -1,19 +1,22 @@
 """Exact top-k search by distributed histogram selection; every vector is a query against all others.
 
 Vectors are made unit length and rounded to 24 binary places, so that a score, their inner product, is
-an exact integer multiple of 2**-48 in any order of summing. Vectors are stored in blocks; each pair of
-blocks scores all its pairs. For each query a histogram of 64 bins over the interval that holds its kth
-score is summed over all blocks, and the bin of the kth score becomes the next interval, until the
-candidates above the interval's lower end are about k. Then each block hands on those of its scores, at most k a
-query, and the k best are chosen by score, ties by id.
-
-The histograms, not the scores, are shuffled. Edge cases: null, empty, zero or non-finite vectors and null
-ids neither ask nor answer; vectors of other than the commonest length neither. Rows that repeat an id count once,
-with the least vector. A query with fewer than k others gets all. An empty table gives an empty result.
+an exact integer multiple of 2**-48 in any order of summing. Vectors are stored in blocks, a partition each; a
+task takes a block of queries and one of candidates from where they are stored. The kth score within a query's own block is
+a lower bound. Above it, a histogram of 64 bins is summed over all blocks, and the bin of the kth score
+becomes the next interval, until the candidates above the interval's lower end are about k. Then each
+block hands on those of its scores, at most k a query, and the k best are chosen by score, ties by id.
+
+The histograms, not the vectors or scores, are shuffled. Edge cases: null, empty, zero or non-finite vectors
+and null ids neither ask nor answer; vectors of other than the commonest length neither. Lengths may be of
+any magnitude: vectors are scaled by a power of two first. Rows that repeat an id count once, with the least
+vector. A query with fewer than k others gets all. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,9 +29,8 @@ BINS = 64
 BLOCK = 4096
 K = 10
 _ONE = 1 << (2 * PLACES)
-#: Scores lie in an interval a power of two wide, so that bins are whole numbers.
-_WIDTH = 1 << (2 * PLACES + 2)
-_LOW = -(_WIDTH // 2)
+#: Below all scores; no score is above _ONE.
+_LOW = -2 * _ONE
 
 
 def blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -43,11 +45,12 @@ def blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
         ids = table.column("id").to_numpy()
         order = np.argsort(ids)
         v = np.stack(table.column("v").to_pylist())[order]
+        v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])  # exact; no square over- or underflows
         v = np.floor(v / np.sqrt((v * v).sum(axis=1))[:, None] * float(1 << PLACES) + 0.5)
         return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "data": pa.array([v.astype(np.int32).tobytes()], pa.binary())})
 
     same = good.filter(F.size("v") == F.lit(dims["dim"] if dims else 0)).withColumn("block", share(F.col("id"), parts, 10).cast("int"))
-    return same.groupBy("block").applyInArrow(pack, "block int, ids binary, data binary")
+    return same.groupBy("block").applyInArrow(pack, "block int, ids binary, data binary").repartitionByRange(parts, "block")
 
 
 def _pairs(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray):
@@ -63,78 +66,86 @@ def _load(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return i, np.frombuffer(data, dtype=np.int32).reshape(len(i), -1).astype(np.float64)
 
 
+STATE = "qblock int, qids binary, qdata binary, low binary, need binary, step binary, open long"
+
+
+def _row(block: int, ids: bytes, data: bytes, low: np.ndarray, need: np.ndarray, step: np.ndarray, left: int) -> pa.RecordBatch:
+    blobs = (ids, data, *(x.astype(np.int64).tobytes() for x in (low, need, step)))
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs), pa.array([left], pa.int64())], ["qblock", "qids", "qdata", "low", "need", "step", "open"])
+
+
+def _longs(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, dtype=np.int64)
+
+
 def top_k(vectors: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
     """(vec_id, neighbour_id, place, score): of each vector the k others with the greatest cosine."""
     arrow_batches(vectors.sparkSession)
     stored = cut(blocks(vectors, block))
-    one, two = (stored.select(*(F.col(c).alias(f"{p}{c}") for c in ("block", "ids", "data"))) for p in "qc")
+    two = stored.select(F.col("ids").alias("cids"), F.col("data").alias("cdata"))
 
-    def start(batches):
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for blk, ids in zip(b.column("block").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                n = len(ids) // 8
-                yield pa.RecordBatch.from_arrays([pa.array([blk], pa.int32()), pa.array([np.full(n, _LOW, np.int64).tobytes()], pa.binary()), pa.array([np.full(n, k, np.int64).tobytes()], pa.binary()), pa.array([0], pa.int64())], ["sblock", "low", "need", "open"])
-
-    # low: the lower end of each query's interval; need: the rank of the kth score within it
-    state = cut(stored.select("block", "ids").mapInArrow(start, "sblock int, low binary, need binary, open long"))
+            for blk, ids, data in zip(*(b.column(c).to_pylist() for c in ("block", "ids", "data")), strict=True):
+                i, q = _load(ids, data)
+                low = np.full(len(i), _LOW, dtype=np.int64)
+                if len(i) > k:
+                    low = np.concatenate([np.partition(s, -k, axis=1)[:, -k] for _, s in _pairs(q, i, q, i)]).astype(np.int64)
+                width = np.ceil(np.log2((_ONE + 1 - low) / BINS)).astype(np.int64)
+                yield _row(blk, ids, data, low, np.full(len(i), k), np.int64(1) << np.maximum(width, 0), -1)
+
+    # low: the lower end of each query's interval, which has BINS bins of `step`; need: the rank of the kth score within it
+    state = cut(stored.mapInArrow(start, STATE))
     n = stored.agg(F.coalesce(F.sum(F.length("ids") / 8), F.lit(0))).first()[0]
-    width = _WIDTH
-    while width >= BINS and n:
-        step = width // BINS
-
-        def histogram(batches):
-            for b in batches:
-                for blk, qi, qd, ci, cd, low in zip(*(b.column(c).to_pylist() for c in ("qblock", "qids", "qdata", "cids", "cdata", "low")), strict=True):
-                    (qid, q), (cid, c) = _load(qi, qd), _load(ci, cd)
-                    lows = np.frombuffer(low, dtype=np.int64).astype(np.float64)
-                    h = np.zeros((len(q), BINS), dtype=np.int64)
-                    for at, s in _pairs(q, qid, c, cid):
-                        s -= lows[at : at + len(s), None]
-                        r, x = np.nonzero((s >= 0) & (s < width))
-                        bins = (s[r, x] / step).astype(np.int64)
-                        h[at : at + len(s)] = np.bincount(r * BINS + np.minimum(bins, BINS - 1), minlength=len(s) * BINS).reshape(-1, BINS)
-                    yield pa.RecordBatch.from_arrays([pa.array([blk], pa.int32()), pa.array([h.astype(np.int32).tobytes()], pa.binary())], ["hblock", "h"])
-
-        def narrow(left: pa.Table, right: pa.Table) -> pa.Table:
-            h = sum(np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in left.column("h").to_pylist()).reshape(-1, BINS)
-            low = np.frombuffer(right.column("low")[0].as_py(), dtype=np.int64).copy()
-            need = np.frombuffer(right.column("need")[0].as_py(), dtype=np.int64).copy()
-            above = np.cumsum(h[:, ::-1], axis=1)
-            hit = above >= need[:, None]
-            found = hit.any(axis=1)  # else fewer than k others: keep all
-            pick = hit.argmax(axis=1)
-            rows = np.arange(len(h))
-            before = np.where(pick > 0, above[rows, pick - 1], 0)
-            inside = np.where(found, above[rows, pick] - before, 0)
-            low = np.where(found, low + (BINS - 1 - pick) * step, low)
-            need = np.where(found, need - before, need)
-            return pa.table({"sblock": right.column("sblock"), "low": pa.array([low.tobytes()], pa.binary()), "need": pa.array([need.tobytes()], pa.binary()), "open": pa.array([int(np.maximum(inside - need, 0).sum())], pa.int64())})
-
-        pairs = one.join(state.select("sblock", "low"), F.col("qblock") == F.col("sblock")).crossJoin(two)
-        counts = pairs.repartition("qblock", "cblock").mapInArrow(histogram, "hblock int, h binary")
-        state = cut(counts.groupBy("hblock").cogroup(state.groupBy("sblock")).applyInArrow(narrow, "sblock int, low binary, need binary, open long"))
-        width = step
+
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blk, qi, qd, low, step, ci, cd in zip(*(b.column(c).to_pylist() for c in ("qblock", "qids", "qdata", "low", "step", "cids", "cdata")), strict=True):
+                (qid, q), (cid, c) = _load(qi, qd), _load(ci, cd)
+                low, step = _longs(low).astype(np.float64), _longs(step).astype(np.float64)
+                h = np.zeros((len(q), BINS), dtype=np.int64)
+                for at, s in _pairs(q, qid, c, cid):
+                    r, x = np.nonzero(s >= low[at : at + len(s), None])
+                    bins = np.floor((s[r, x] - low[at + r]) / step[at + r]).astype(np.int64)
+                    r, bins = r[bins < BINS], bins[bins < BINS]
+                    h[at : at + len(s)] = np.bincount(r * BINS + bins, minlength=len(s) * BINS).reshape(-1, BINS)
+                yield pa.RecordBatch.from_arrays([pa.array([blk], pa.int32()), pa.array([h.astype(np.int32).tobytes()], pa.binary())], ["hblock", "h"])
+
+    def narrow(left: pa.Table, right: pa.Table) -> pa.Table:
+        h = sum(np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in left.column("h").to_pylist()).reshape(-1, BINS)
+        row = right.to_pylist()[0]
+        low, need, step = (_longs(row[c]) for c in ("low", "need", "step"))
+        above = np.cumsum(h[:, ::-1], axis=1)
+        hit = above >= need[:, None]
+        found = hit.any(axis=1)  # else fewer than k others: keep all
+        pick, rows = hit.argmax(axis=1), np.arange(len(h))
+        before = np.where(pick > 0, above[rows, pick - 1], 0)
+        inside = np.where(found, above[rows, pick] - before, 0)
+        low, need = np.where(found, low + (BINS - 1 - pick) * step, low), np.where(found, need - before, need)
+        extra = int(np.where(found & (step > 1), np.maximum(inside - need, 0), 0).sum())
+        return pa.Table.from_batches([_row(row["qblock"], row["qids"], row["qdata"], low, need, np.maximum(step // BINS, 1), extra)])
+
+    while n:
+        counts = state.select("qblock", "qids", "qdata", "low", "step").crossJoin(two).mapInArrow(histogram, "hblock int, h binary")
+        state = cut(counts.groupBy("hblock").cogroup(state.groupBy("qblock")).applyInArrow(narrow, STATE))
         if state.agg(F.sum("open")).first()[0] <= k * n:
             break
 
-    def choose(batches):
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for qi, qd, ci, cd, low in zip(*(b.column(c).to_pylist() for c in ("qids", "qdata", "cids", "cdata", "low")), strict=True):
+            for qi, qd, low, ci, cd in zip(*(b.column(c).to_pylist() for c in ("qids", "qdata", "low", "cids", "cdata")), strict=True):
                 (qid, q), (cid, c) = _load(qi, qd), _load(ci, cd)
-                lows = np.frombuffer(low, dtype=np.int64).astype(np.float64)
-                out = []
+                low, out = _longs(low).astype(np.float64), []
                 for at, s in _pairs(q, qid, c, cid):
-                    r, x = np.nonzero(s >= lows[at : at + len(s), None])
+                    r, x = np.nonzero(s >= low[at : at + len(s), None])
                     v, i = s[r, x], cid[x]
                     order = np.lexsort((i, -v, r))
                     r, v, i = r[order], v[order], i[order]
-                    first = np.searchsorted(r, r)
-                    best = np.arange(len(r)) - first < k
+                    best = np.arange(len(r)) - np.searchsorted(r, r) < k
                     out.append((qid[at + r[best]], i[best], v[best] / float(_ONE)))
                 cols = [np.concatenate(c) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["vec_id", "neighbour_id", "score"])
 
-    pairs = one.join(state.select("sblock", "low"), F.col("qblock") == F.col("sblock")).crossJoin(two)
-    kept = pairs.repartition("qblock", "cblock").mapInArrow(choose, "vec_id long, neighbour_id long, score double")
+    kept = state.select("qids", "qdata", "low").crossJoin(two).mapInArrow(choose, "vec_id long, neighbour_id long, score double")
     order = Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbour_id")
     return kept.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= k).select("vec_id", "neighbour_id", "place", "score")
