@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from evalweave.llm.common import SPACE, arrow_batches, raw_texts, share, word_bo
 
 NGRAM = 4
 BITS = 18
-PER_CLASS = 1500
+PER_CLASS = 2500
 SIZE = (1 << BITS) + (1 << 15)
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[65:91] = 2
@@ -84,29 +85,31 @@ def shapes(raw: np.ndarray) -> np.ndarray:
     return np.unique(framed[:-2] | framed[1:-1] << np.uint32(5) | framed[2:] << np.uint32(10)) + np.uint32(1 << BITS)
 
 
-def fit_linear(rows: list[np.ndarray], y: np.ndarray, cost: float = 4.0, epochs: int = 20, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float, float]:
+def fit_linear(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, cost: float = 4.0, epochs: int = 20, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float, float]:
     """(weights of the scaled indicators, log-count ratios, bias, floor) of one two-class model.
 
+    Row i has the indicators flat[ends[i] : ends[i + 1]].
     Dual coordinate descent for the hinge loss: each step solves for one dual variable within
     [0, cost] and moves the primal weights along that row. A row is divided by the root of its squared length plus floor, the median squared
     length, so that a short text, which has little evidence, scores near the bias.
     """
     d = SIZE
-    counts = np.ones((2, d))
-    for row, label in zip(rows, y > 0, strict=True):
-        counts[int(label)][row] += 1
+    side = np.repeat(y > 0, np.diff(ends))
+    counts = np.stack([np.bincount(flat[side == label], minlength=d) + 1.0 for label in (False, True)])
+    del side
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     w, bias = np.zeros(d), 0.0
-    values = [ratio[row] for row in rows]
-    floor = float(np.median([v @ v for v in values]))
-    values = [v / np.sqrt(v @ v + floor) if floor else v for v in values]
-    squares = [v @ v + 1 for v in values]  # with the constant
-    alpha = np.zeros(len(rows))
+    values = ratio.astype(np.float32)[flat]
+    size = np.array([values[a:z] @ values[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)], dtype=np.float64)
+    floor = float(np.median(size))
+    scale = 1 / np.sqrt(size + floor) if floor else np.ones(len(size))
+    squares = size * scale * scale + 1  # with the constant
+    alpha = np.zeros(len(y))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(len(rows)):
-            row, v = rows[i], values[i]
+        for i in rng.permutation(len(y)):
+            row, v = flat[ends[i] : ends[i + 1]], values[ends[i] : ends[i + 1]] * scale[i]
             gradient = y[i] * (w[row] @ v + bias) - 1
             new = min(max(alpha[i] - gradient / squares[i], 0.0), cost)
             if step := (new - alpha[i]) * y[i]:
@@ -147,16 +150,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("q"), b.column("t"), pa.array(blobs, pa.binary())], ["doc_id", "q", "t", "f"])
 
     got = sample_labelled(docs, labels, per_class).mapInArrow(extract, "doc_id long, q int, t int, f binary").toArrow()
-    order = sorted(range(got.num_rows), key=lambda i, ids=got.column("doc_id").to_pylist(): (ids[i], i))
-    blobs, q, t = (got.column(c).to_pylist() for c in ("f", "q", "t"))
-    rows = [np.frombuffer(blobs[i], dtype=np.uint32) for i in order]
-    del got
+    got = got.take(pa.array(np.argsort(got.column("doc_id").to_numpy(), kind="stable")))
+    good, toxic = (got.column(c).to_numpy() == 1 for c in ("q", "t"))
+    blobs = got.column("f")
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(blobs).to_numpy() // 4)]).astype(np.int64)
+    flat = np.empty(ends[-1], dtype=np.uint32)
+    for i in range(len(blobs)):
+        flat[ends[i] : ends[i + 1]] = np.frombuffer(blobs[i].as_buffer(), dtype=np.uint32)
+    del got, blobs
     pa.default_memory_pool().release_unused()
-    good, toxic = np.array([q[i] == 1 for i in order], dtype=bool), np.array([t[i] == 1 for i in order], dtype=bool)
     weights, ratios, bias, floor, fitted = np.zeros((SIZE, 2), np.float32), np.zeros((SIZE, 2), np.float32), np.zeros(2), np.zeros(2), [False, False]
     for k, truth in enumerate((good, toxic)):
         if truth.any() and not truth.all():
-            w, r, bias[k], floor[k] = fit_linear(rows, np.where(truth, 1.0, -1.0))
+            w, r, bias[k], floor[k] = fit_linear(flat, ends, np.where(truth, 1.0, -1.0))
             weights[:, k], ratios[:, k], fitted[k] = w * r, r * r, True
     return Model(weights, ratios, bias, floor, (fitted[0], fitted[1]))
 
