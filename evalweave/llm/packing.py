@@ -6,11 +6,12 @@ packing patterns are built: lengths are placed longest first, each into the open
 shortest so far, and the counts of patterns are updated. The patterns, whose number depends on
 max_words alone, are joined back to the pieces by each piece's rank among those of its length.
 
-Ranks come from windows over (length, one of 64 buckets of doc_id) and the buckets' counts, so that no
-window holds more than a small part of a length's pieces.
+Ranks come from windows over (length, bucket of doc_id) and the buckets' counts; buckets grow in number with
+the pieces, so that no window holds more than about EACH of them. Equal lengths are packed in the order of
+buckets, then of doc_id and piece.
 
 Edge cases: null, blank and empty texts have no words and are in no pack. Repeated rows are packed one
-by one; rows with null doc_id too. Other columns are untouched; an empty table gives an empty result.
+by one; rows with null doc_id too (which of them gets which place is open). Other columns are untouched; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from evalweave.llm.common import arrow_batches, cut, raw_texts, share, word_bounds
 
 MAX_WORDS = 2048
-BUCKETS = 64
+#: Pieces in a window, about.
+EACH = 100_000
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -95,7 +97,9 @@ def packed_documents(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """(doc_id, piece, start_word, n_words, pack_id, pack_offset): where each piece of a document goes."""
     spark = docs.sparkSession
     # counting words reads all texts; the few bytes it leaves of each are kept
-    parts = cut(pieces(docs, max_words).withColumn("bucket", F.coalesce(share(F.col("doc_id"), BUCKETS, 1), F.lit(0))))
+    parts = cut(pieces(docs, max_words).withColumn("row", F.monotonically_increasing_id()))
+    buckets = max(64, -(-parts.count() // EACH))
+    parts = parts.withColumn("bucket", share(F.coalesce("doc_id", "row"), buckets, 1))
     counts = parts.groupBy("n_words", "bucket").count()
     histogram = {r["n_words"]: r["n"] for r in counts.groupBy("n_words").agg(F.sum("count").alias("n")).collect()}
     rows = slots(patterns(histogram, max_words))
