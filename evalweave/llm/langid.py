@@ -1,7 +1,7 @@
 """Language ID by hyperdimensional profiles.
 
-Every symbol (a lower-cased ASCII letter, a space for any run of other ASCII, or the low six bits of a
-continuation byte) has a random vector of +1 and -1. A 3-gram is bound by multiplying its symbols'
+Every symbol (a lower-cased ASCII letter, a space for any run of other ASCII, or one of 229 classes of the
+last two bytes of any other character, so that alphabets are told apart) has a random vector of +1 and -1. A 3-gram is bound by multiplying its symbols'
 vectors, permuted once for each place; a text's profile bundles the vectors of its 3-grams. Languages
 have prototypes, the bundles of a bounded sample of labelled documents (about TRAIN of each language),
 and a document gets the language whose prototype has the greatest cosine with its profile.
@@ -24,18 +24,18 @@ from evalweave.llm.common import arrow_batches, has_words, raw_texts, share
 
 DIMENSIONS = 1024
 TRAIN = 1000
-SYMBOLS = 91
-CODES = SYMBOLS**3
+SYMBOLS = 256
 
 _SYMBOL = np.zeros(256, dtype=np.int32)
 _SYMBOL[65:91] = _SYMBOL[97:123] = np.arange(1, 27)
-_SYMBOL[128:192] = 27 + np.arange(64)
-_SYMBOL[192:] = -1  # lead bytes only announce what follows
+_SYMBOL[192:] = -1  # a lead byte counts with the byte that follows
 
 
 def codes(raw: np.ndarray) -> np.ndarray:
     """Codes of the 3-grams of a text that hold a letter."""
     s = _SYMBOL[raw]
+    at = np.flatnonzero((raw >= 128) & (raw < 192))
+    s[at] = 27 + (raw[at - 1].astype(np.int32) * 64 + raw[at]) % 229
     s = s[s >= 0]
     s = np.concatenate([[0], s, [0]])
     s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]  # one space for a run
@@ -64,13 +64,10 @@ def prototypes(docs: DataFrame, train: int = TRAIN) -> tuple[list[str], np.ndarr
     some = known.filter((share(F.col("doc_id"), 1 << 20, 5) < rate) & has_words(F.col("text"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, raw in zip(b.column("lang").to_pylist(), raw_texts(b.column("text")), strict=True):
-                np.add.at(totals.setdefault(lang, np.zeros(CODES, dtype=np.int64)), codes(raw), 1)
-        for lang, t in totals.items():
-            at = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(t[at])], ["lang", "code", "n"])
+                at, n = np.unique(codes(raw), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
     got = some.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
@@ -91,15 +88,13 @@ def profiles(raws: list[np.ndarray | None], table: np.ndarray) -> np.ndarray:
     joined = np.concatenate(each) if each else np.empty(0, dtype=np.int64)
     if not len(joined):
         return np.zeros((len(raws), table.shape[1]), dtype=np.float32)
-    present = np.flatnonzero(np.bincount(joined, minlength=CODES))
-    place = np.zeros(CODES, dtype=np.int64)
-    place[present] = np.arange(len(present))
+    present, place = np.unique(joined, return_inverse=True)
     row = np.repeat(np.arange(len(raws)), [len(e) for e in each])
     out = np.zeros((len(raws), table.shape[1]), dtype=np.float32)
     for k in range(0, len(present), 4096):
         part = present[k : k + 4096]
-        inside = (place[joined] >= k) & (place[joined] < k + len(part))
-        counts = np.bincount(row[inside] * len(part) + place[joined[inside]] - k, minlength=len(raws) * len(part))
+        inside = (place >= k) & (place < k + len(part))
+        counts = np.bincount(row[inside] * len(part) + place[inside] - k, minlength=len(raws) * len(part))
         out += counts.reshape(len(raws), len(part)).astype(np.float32) @ bound(part, table).astype(np.float32)
     return out
 
