@@ -3,7 +3,8 @@
 Features: lengths of URL, host, path and query, path depth, digit ratios of URL and host, character
 entropy, counts of parameters, of dots and hyphens of the host, whether the scheme is https, and two
 statistics of the host's last two labels among all labelled URLs: the smoothed share of bad ones and
-the log of their number. Trees of fixed depth are grown on binned features by the gradients of the
+the log of their number (for a URL that trains, among those of other folds only, so that no label speaks for itself). A host is
+without user and port. Trees of fixed depth are grown on binned features by the gradients of the
 logistic loss, on the driver, from a bounded sample of the labelled URLs (at most about TRAIN of each
 label, by a hash of the URL), weighted so that each label counts as among all labelled URLs; scoring is
 one pass without shuffle that reads only ids and URLs.
@@ -31,13 +32,16 @@ from evalweave.llm.common import arrow_batches, has_words, share
 
 TRAIN = 10_000
 TREES, DEPTH, RATE, CELLS = 40, 3, 0.2, 32
+FEATURES = 14
 BLOCKED = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x")
-_PARTS = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*://)?(?P<host>[^/?#]*)(?P<path>[^?#]*)(?P<query>[^#]*)"
+FOLDS = 5
+_START = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*://)?(?:[^/?#@]*@)?"
+_PARTS = _START + r"(?P<host>[^/?#:]*)(?::[^/?#]*)?(?P<path>[^?#]*)(?P<query>[^#]*)"
 
 
 def labelled(pages: DataFrame, blocked: tuple[str, ...] = BLOCKED) -> DataFrame:
     """(url, bad): 1 for URLs whose host has a blocked name among its labels, under any suffix, else 0."""
-    host = F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.\-]*://)?([^/?#:]*)", 1))
+    host = F.lower(F.regexp_extract("url", _START + "([^/?#:]*)", 1))
     bad = F.lit(False)
     for name in blocked:
         bad = bad | F.concat(F.lit("."), host, F.lit(".")).contains(f".{name}.")
@@ -49,12 +53,12 @@ def _suffixes(host: pa.Array) -> list[str]:
 
 
 def _suffixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(suffix, bad, n) of each batch of (url, bad)."""
+    """(suffix, fold, bad, n) of each batch of (url, bad, fold)."""
     for b in batches:
         host = pc.struct_field(pc.extract_regex(pc.utf8_lower(b.column("url").cast(pa.string())), _PARTS), "host")
-        suffixes = pa.table({"suffix": pa.array(_suffixes(pc.fill_null(host, "")), pa.string()), "bad": b.column("bad").cast(pa.int64())})
-        sums = suffixes.group_by("suffix").aggregate([("bad", "sum"), ("bad", "count")])
-        yield from sums.select(["suffix", "bad_sum", "bad_count"]).rename_columns(["suffix", "bad", "n"]).to_batches()
+        suffixes = pa.table({"suffix": pa.array(_suffixes(pc.fill_null(host, "")), pa.string()), "fold": b.column("fold"), "bad": b.column("bad").cast(pa.int64())})
+        sums = suffixes.group_by(["suffix", "fold"]).aggregate([("bad", "sum"), ("bad", "count")])
+        yield from sums.select(["suffix", "fold", "bad_sum", "bad_count"]).rename_columns(["suffix", "fold", "bad", "n"]).to_batches()
 
 
 def features(urls: pa.Array, stats: dict[str, tuple[float, float]], prior: float) -> np.ndarray:
@@ -149,26 +153,40 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Trees:
     return model
 
 
+def statistics(tally: list, prior: float) -> dict[str, tuple[float, float]]:
+    """(smoothed share of bad URLs, log of their number) of each suffix, from rows (suffix, bad, n)."""
+    sums: dict[str, tuple[int, int]] = {}
+    for r in tally:
+        b, n = sums.get(r["suffix"], (0, 0))
+        sums[r["suffix"]] = b + r["bad"], n + r["n"]
+    return {s: ((b + 20 * prior) / (n + 20), float(np.log1p(n))) for s, (b, n) in sums.items()}
+
+
 def fit(urls: DataFrame, train: int = TRAIN) -> tuple[Trees, dict[str, tuple[float, float]], float]:
     """(trees, suffix statistics, prior) from (url, bad): trees by at most about `train` URLs of each label, the rest by all."""
     arrow_batches(urls.sparkSession)
-    urls = urls.filter(has_words(F.col("url")) & F.col("bad").isNotNull()).select("url", F.col("bad").cast("int").alias("bad"))
+    urls = urls.filter(has_words(F.col("url")) & F.col("bad").isNotNull()).select("url", F.col("bad").cast("int").alias("bad"), share(F.col("url"), FOLDS, 9).cast("int").alias("fold"))
     sizes = {r["bad"]: r["count"] for r in urls.groupBy("bad").count().collect()}  # two rows
     rate = F.lit(0)
     for b, n in sizes.items():
         rate = F.when(F.col("bad") == b, F.lit(min(1 << 20, -(-(train << 20) // n)))).otherwise(rate)
     got = urls.filter(share(F.col("url"), 1 << 20, 7) < rate).toArrow().combine_chunks()
-    y = got.column("bad").to_numpy().astype(np.float64)
+    y, fold = got.column("bad").to_numpy().astype(np.float64), got.column("fold").to_numpy()
     if not len(y) or y.min() == y.max():
         return Trees(), {}, 0.0
     order = np.argsort(np.array(got.column("url").to_pylist(), dtype=object), kind="stable")
-    text, y = got.column("url").take(pa.array(order)).combine_chunks(), y[order]
+    text, y, fold = got.column("url").take(pa.array(order)).combine_chunks(), y[order], fold[order]
     text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
     weight = np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum())
     prior = sizes[1] / (sizes[0] + sizes[1])
-    tally = urls.mapInArrow(_suffixed, "suffix string, bad long, n long").groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).toArrow().to_pydict()
-    stats = {s: ((b + 20 * prior) / (n + 20), float(np.log1p(n))) for s, b, n in zip(tally["suffix"], tally["bad"], tally["n"], strict=True)}
-    return boost(features(text, stats, prior), y, weight), stats, prior
+    tally = urls.mapInArrow(_suffixed, "suffix string, fold int, bad long, n long").groupBy("suffix", "fold").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).collect()
+    stats = statistics(tally, prior)
+    x = np.empty((len(y), FEATURES))
+    for k in range(FOLDS):
+        mine = fold == k
+        if mine.any():
+            x[mine] = features(text.filter(pa.array(mine)), statistics([r for r in tally if r["fold"] != k], prior), prior)
+    return boost(x, y, weight), stats, prior
 
 
 def score(pages: DataFrame, model: tuple[Trees, dict[str, tuple[float, float]], float]) -> DataFrame:
