@@ -5,6 +5,7 @@ Words are maximal runs of bytes other than the ASCII white space ``[ \\t\\n\\x0b
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -89,19 +90,24 @@ def int64s(column: pa.Array, null: int = -(2**63)) -> np.ndarray:
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once by bytes as well as by rows; send it this code by value."""
+    """Bound what a Python worker holds at once by bytes as well as by rows, if the session's bounds are wider; send it this code by value."""
     import evalweave.llm
 
     cloudpickle.register_pickle_by_value(evalweave.llm)  # executors need not have the package installed
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    for name, most in (("maxBytesPerBatch", 8 << 20), ("maxRecordsPerBatch", 4096)):
+        now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(f"spark.sql.execution.arrow.{name}"))
+        if now is None or not 0 < int(now[1]) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one on a single machine, as in tests, an error on a cluster."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evalweave-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="evalweave-"))
     return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
 
 
