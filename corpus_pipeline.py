@@ -1,7 +1,13 @@
 """From documents to packed training sequences: five stages, each over all that the one before kept.
 
 Labels, like documents, are read from sf_dir. SQL can't express the fitted classifier, the connected
-components or the packing, so ORACLE_SQL is None and tests/llm compares run() with brute force.
+components or the packing, so ORACLE_SQL is None and tests/llm compares run() with plain Python.
+
+Edge cases. Null and blank texts have no quality and go in the first stage; without labels of both kinds, all
+others stay. Rows with null doc_id aren't near copies of anything. Rows that repeat another whole row stay or go with it.
+A document of which the third stage leaves nothing goes. Null sources are one source. Every stage but the
+last keeps the columns of documents, in their order, whatever other columns there are; an empty table
+gives an empty result. Ties are settled by doc_id in every stage.
 """
 
 from __future__ import annotations
@@ -52,10 +58,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet in the shared folder and read again."""
+    """All stages over documents; each result is written as Parquet in the shared folder and read again.
+
+    A stage's result is deleted when the next has been written; the last one's is what is returned, so it stays.
+    """
     docs = read(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return docs
