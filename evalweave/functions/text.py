@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,11 +17,12 @@ ROUTES = (
     ("policy_retriever", ("guideline", "handbook", "paid leave", "policy", "procedure", "regulation", "rule")),
 )
 NO_CONTEXT = ("not have enough information", "insufficient context")
+DAYS, TICKET = 12, "INC0012345"
 ANSWERS = {
-    "workday_api": "Your leave balance was retrieved from the HR system.",
-    "servicenow_api": "A support ticket was opened for your request.",
-    "policy_retriever": "The matching company policy was retrieved.",
-    "unknown": "No tool fits this request.",
+    "unknown": "I could not determine the appropriate tool for your query.",
+    "policy_retriever": "Here is the relevant company policy section.",
+    "workday_api": f"Your PTO balance is {DAYS} days.",
+    "servicenow_api": f"A support ticket has been created ({TICKET}).",
 }
 REASONS = (
     "Pipeline error",
@@ -63,7 +65,7 @@ def route(query: Column, routes: tuple[tuple[str, tuple[str, ...]], ...] = ROUTE
 
 
 def route_pattern(words: tuple[str, ...]) -> str:
-    return r"(^|[^\p{L}\p{N}_])(" + "|".join(words) + ")"
+    return r"(^|[^\p{L}\p{N}_])(" + "|".join(re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", w) for w in words) + ")"
 
 
 def tool_answer(tool: Column, answers: dict[str, str] = ANSWERS) -> Column:
@@ -142,4 +144,25 @@ def dataset_name(path: Column) -> Column:
 
 
 def source_label(source: Column, chunk: Column, page: Column) -> Column:
-    return F.format_string("%s – chunk %s, page %s", F.coalesce(source, F.lit("unknown")), chunk.cast("string"), page.cast("string"))
+    """Where a chunk is from; what isn't known is a question mark."""
+    known = (F.coalesce(c.cast("string"), F.lit("?")) for c in (source, chunk, page))
+    return F.format_string("%s – chunk %s, page %s", *known)
+
+
+def timestamp_text(at: Column) -> Column:
+    """A time as reports print it, in the session's time zone."""
+    return F.date_format(at, "yyyy-MM-dd HH:mm:ss")
+
+
+def iso_text(at: Column) -> Column:
+    """A time as it is stored in JSON."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def symbol(flag: Column, yes: str = "Pass", no: str = "Fail") -> Column:
+    """A word or sign for a flag; null is as false."""
+    return F.when(flag, yes).otherwise(no)
+
+
+def percent(x: Column, missing: str = "—") -> Column:
+    return F.when(x.isNull(), missing).otherwise(F.format_string("%.2f%%", x * 100))

@@ -136,15 +136,55 @@ def distinct_sorted(df: DataFrame, column: str, missing: str = "unknown") -> Dat
 
 
 def page(df: DataFrame, order: str, number: int | None = None, size: int = 10) -> DataFrame:
-    """One page by an explicit order, the last by default; numbers beyond the range are clamped."""
-    last = F.greatest(F.lit(1), F.ceil(F.col("rows") / size)).cast("int")
-    at = last if number is None else F.least(F.greatest(F.lit(number), F.lit(1)), last)
-    total = df.agg(F.count("*").alias("rows"))  # one row
-    placed = df.withColumn("row_no", F.row_number().over(Window.orderBy(order)).cast("long"))
-    return placed.crossJoin(F.broadcast(total)).withColumn("page", at).filter(F.ceil(F.col("row_no") / size) == F.col("page")).drop("rows")
+    """One page by an explicit, unique order, the last by default; numbers beyond the range are clamped.
+
+    Rows are counted first; then a bounded top-k, from the nearer end, takes the page's rows, and only they are numbered.
+    """
+    rows = df.count()
+    last = max(1, -(-rows // size))
+    at = last if number is None else min(max(number, 1), last)
+    begin, end = (at - 1) * size, min(at * size, rows)
+    if begin <= rows - end:
+        few = df.orderBy(F.asc(order)).limit(end)
+        few = few.orderBy(F.desc(order)).limit(end - begin)
+    else:
+        few = df.orderBy(F.desc(order)).limit(rows - begin)
+        few = few.orderBy(F.asc(order)).limit(end - begin)
+    placed = F.row_number().over(Window.orderBy(order)) + F.lit(begin)  # over one page
+    return few.withColumn("row_no", placed.cast("long")).withColumn("page", F.lit(at))
 
 
 def history(df: DataFrame, order: str, keep: int = 10) -> DataFrame:
-    """The last queries, newest first, without immediate repeats."""
-    before = F.lag("query").over(Window.orderBy(order))
-    return df.withColumn("before", before).filter(~F.col("query").eqNullSafe(F.col("before")) | F.col("before").isNull()).drop("before").orderBy(F.desc(order)).limit(keep)
+    """The last queries by a unique order, newest first, without immediate repeats.
+
+    The newest few rows are tried first, and more only where repeats leave fewer than `keep` of them.
+    """
+    rows, take = df.count(), 4 * keep
+    while True:
+        few = df.orderBy(F.desc(order)).limit(take)
+        before = F.lag(F.struct("query")).over(Window.orderBy(order))
+        new = few.withColumn("before", before).filter(F.col("before").isNull() | ~F.col("query").eqNullSafe(F.col("before.query"))).drop("before")
+        # the oldest row of a part may repeat the one before it
+        if take >= rows or new.count() > keep:
+            return new.orderBy(F.desc(order)).limit(keep)
+        take *= 4
+
+
+def first_with(df: DataFrame, column: str, value: object, order: str) -> DataFrame:
+    """The first row, by an order, that has a value in a column."""
+    return df.filter(F.col(column) == F.lit(value)).orderBy(order).limit(1)
+
+
+def scored(df: DataFrame) -> DataFrame:
+    """Rows whose similarity is known."""
+    return df.filter(F.col("similarity").isNotNull())
+
+
+def agent_report(results: DataFrame, order: str = "query") -> DataFrame:
+    """One row (tool_accuracy, total_tests, passed_tests, results) of an agent's test cases; zeros and no results without any.
+
+    The cases are nested in the row, as a report has them; agent_accuracy() gives the figures of sets of any size.
+    """
+    one = F.struct(order, *(c for c in results.columns if c != order))
+    nested = results.agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(*(x[c].alias(c) for c in results.columns))).alias("results"))
+    return agent_accuracy(results).crossJoin(nested).select("tool_accuracy", "total_tests", "passed_tests", "results")

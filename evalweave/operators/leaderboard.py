@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalweave.functions.scores import leaderboard_score, r2
@@ -24,6 +24,12 @@ def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(*KEY, *(F.when(F.col("in_new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in values))
 
 
+def standard_entries(df: DataFrame, at: Column) -> DataFrame:
+    """The standard entry of each model: its mean trust as accuracy, all its rows, none passed."""
+    of = df.filter("model IS NOT NULL").groupBy("model").agg(F.avg("trust_score").alias("accuracy"), F.count("*").alias("total"))
+    return of.select("model", F.lit("standard").alias("dataset"), "accuracy", "total", F.lit(0).cast("long").alias("passed"), at.alias("timestamp"))
+
+
 def with_standard(entries: DataFrame, standard: DataFrame) -> DataFrame:
     """entries and the standard rows of models that have no standard entry."""
     have = entries.filter("dataset = 'standard'").select("model").distinct()

@@ -9,11 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalweave.functions.scores import clamp, cosine, distance_to_similarity, dot, norm, r4
+from evalweave.functions import text as rules
+from evalweave.functions.scores import clamp, cosine, distance_to_similarity, dot, norm, r2, r4
 
 SIZE, OVERLAP = 500, 50
 SEPARATORS = ("\n\n", "\n", " ", "")
 NOTHING_FOUND = "No documents were found to answer this question."
+#: A prompt, with the places of the context and of the question.
+TEMPLATE = "Use nothing but these passages to answer; if they don't hold the answer, say so.\n\n{context}\n\nQuestion: {question}\nAnswer:"
 
 
 class Embedder(Protocol):
@@ -113,8 +116,17 @@ class HashEmbedder:
         return out
 
 
+class Echo:
+    """Offline default: the last line of a prompt but one, without its first word. It stands in for a model, and isn't one."""
+
+    def generate(self, prompt: str) -> str:
+        return prompt.rsplit("\n", 2)[1].partition(" ")[2]
+
+
 def nearest_chunks(queries: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
-    """(query_id, chunk_id, rank, score): the k chunks of greatest cosine, ties by chunk_id; the score is rounded after ranking.
+    """(query_id, chunk_id, rank, score): the k chunks of greatest cosine, ties by chunk_id.
+
+    The order is that of the exact cosine; the score is that cosine, not below zero, rounded after ranking.
 
     queries (query_id, q) are few, and sent to the chunks (chunk_id, v) if Spark finds them small; norms
     are computed once a row. The window's limit drops all but k a query before its shuffle.
@@ -122,9 +134,9 @@ def nearest_chunks(queries: DataFrame, chunks: DataFrame, k: int = 3) -> DataFra
     q = queries.withColumn("nq", norm(F.col("q")))
     c = chunks.withColumn("nc", norm(F.col("v")))
     pairs = c.crossJoin(q).withColumn("s", cosine(F.col("q"), F.col("v"), F.col("nq"), F.col("nc")))
-    # on equal rounded scores too, the order is that of chunk_id
-    w = Window.partitionBy("query_id").orderBy(F.desc(r4(F.col("s"))), "chunk_id")
-    return pairs.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("query_id", "chunk_id", "rank", r4(F.col("s")).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("s"), "chunk_id")
+    ranked = pairs.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "chunk_id", "rank", distance_to_similarity(F.lit(2.0) - F.lit(2.0) * F.col("s")).alias("score"))
 
 
 def similarity_of(a: Column, b: Column) -> Column:
@@ -150,8 +162,19 @@ def context_blocks(df: DataFrame) -> DataFrame:
     return df.groupBy("query_id").agg(F.array_join(F.transform(ranked, lambda x: x["b"]), "\n\n").alias("context"))
 
 
+def assembled(queries: DataFrame, context: DataFrame, template: str = TEMPLATE) -> DataFrame:
+    """(query_id, prompt) from (query_id, question) and the context of context_blocks(); without context the prompt is null."""
+    before, after = template.split("{context}")
+    both = queries.select("query_id", "question").join(context.select("query_id", "context"), "query_id", "left")
+    parts = [F.lit(x) for x in after.split("{question}")]
+    return both.select("query_id", F.concat(F.lit(before), F.col("context"), parts[0], F.col("question"), parts[1]).alias("prompt"))
+
+
 def answered(prompts: DataFrame, make: Callable[[], Generator]) -> DataFrame:
-    """prompts (query_id, prompt) with answer, error and seconds; a generator's failure is an error string, an empty prompt the fixed answer."""
+    """prompts (query_id, prompt) with answer, error and generation seconds.
+
+    A generator's failure is an error string, not an exception; an empty or null prompt gets the fixed answer in no time.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
@@ -160,9 +183,12 @@ def answered(prompts: DataFrame, make: Callable[[], Generator]) -> DataFrame:
         for pdf in batches:
             rows = []
             for p in pdf["prompt"]:
+                if not p:
+                    rows.append((NOTHING_FOUND, None, 0.0))
+                    continue
                 began, error = time.perf_counter(), None
                 try:
-                    answer = model.generate(p) if p else NOTHING_FOUND
+                    answer = model.generate(p)
                 except Exception as e:  # reported with the row
                     answer, error = f"[ERROR] {e}", str(e)
                 rows.append((answer, error, round(time.perf_counter() - began, 3)))
@@ -171,6 +197,79 @@ def answered(prompts: DataFrame, make: Callable[[], Generator]) -> DataFrame:
     return prompts.select("query_id", "prompt").mapInPandas(run, "query_id long, prompt string, answer string, error string, seconds double")
 
 
+def retriever(chunks: DataFrame, make: Callable[[], Embedder], k: int = 3) -> Callable[..., DataFrame]:
+    """A function of (queries (query_id, question), k) that finds the chunks of each: nearest_chunks() with their other columns."""
+
+    def retrieve(queries: DataFrame, k: int = k) -> DataFrame:
+        q = embedded(queries.select("query_id", "question"), make, "question").select("query_id", F.col("embedding").alias("q"))
+        found = nearest_chunks(q, chunks.select("chunk_id", F.col("embedding").alias("v")), k)
+        return found.join(chunks.drop("embedding"), "chunk_id")
+
+    return retrieve
+
+
+def query_run(queries: DataFrame, chunks: DataFrame, embedder: Callable[[], Embedder], generator: Callable[[], Generator], k: int = 3, retrieval_seconds: float = 0.0) -> DataFrame:
+    """Retrieve, assemble, generate: a row for each of queries (query_id, question).
+
+    (query_id, answer, error, sources, context_chunks, retrieval_time, generation_time, total_time, estimated_tokens);
+    sources are labels in the order of rank. One plan retrieves for all queries at once, so that the
+    seconds of a single retrieval are what the caller has measured.
+    """
+    found = retriever(chunks, embedder, k)(queries)
+    label = rules.source_label(F.col("source"), F.col("chunk_index"), F.col("page"))
+    labels = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", label.alias("label")))).alias("s"))
+    made = answered(assembled(queries, context_blocks(found)), generator).join(labels, "query_id", "left")
+    took = F.lit(float(retrieval_seconds))
+    return made.select(
+        "query_id",
+        "answer",
+        "error",
+        F.coalesce(F.transform("s", lambda x: x["label"]), F.array().cast("array<string>")).alias("sources"),
+        F.coalesce(F.size("s"), F.lit(0)).alias("context_chunks"),
+        took.alias("retrieval_time"),
+        F.col("seconds").alias("generation_time"),
+        (took + F.col("seconds")).alias("total_time"),
+        F.when(F.col("s").isNull(), F.lit(0).cast("long")).otherwise(rules.token_estimate(F.col("answer"))).alias("estimated_tokens"),
+    )
+
+
+def batch_run(prompts: DataFrame, chunks: DataFrame, embedder: Callable[[], Embedder], generator: Callable[[], Generator], model: str, k: int = 3) -> DataFrame:
+    """The batch results of prompts (id, prompt, expected_answer): answers, their similarity to what was expected, pass flags.
+
+    Rows with a blank prompt go. Without an expected answer the similarity is null; where the generator fails too, and the row
+    has no sources and a latency of 0.
+    """
+    rows = prompts.select(F.col("id").cast("long").alias("query_id"), F.trim("prompt").alias("prompt"), F.trim(F.coalesce("expected_answer", F.lit(""))).alias("expected_answer")).filter(F.length("prompt") > 0)
+    made = query_run(rows.select("query_id", F.col("prompt").alias("question")), chunks, embedder, generator, k)
+    both = rows.join(made, "query_id")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = embedder()
+        for pdf in batches:
+            vectors = encoder.embed(pdf["expected_answer"].tolist() + pdf["answer"].tolist()) if len(pdf) else []
+            yield pd.DataFrame({"query_id": pdf["query_id"], "a": vectors[: len(pdf)], "b": vectors[len(pdf) :]})
+
+    judged = both.filter("expected_answer <> '' AND error IS NULL").select("query_id", "expected_answer", "answer").mapInPandas(compare, "query_id long, a array<double>, b array<double>")
+    scored = both.join(judged.select("query_id", r4(cosine(F.col("a"), F.col("b"))).alias("similarity")), "query_id", "left")
+    failed = F.col("error").isNotNull()
+    return scored.select(
+        F.col("query_id").alias("id"),
+        "prompt",
+        "expected_answer",
+        F.col("answer").alias("model_answer"),
+        "similarity",
+        rules.passed(F.col("similarity")).alias("passed"),
+        F.when(failed, F.lit(0.0)).otherwise(r2(F.col("total_time"))).alias("latency_s"),
+        F.when(failed, F.array().cast("array<string>")).otherwise(F.col("sources")).alias("sources"),
+        F.lit(model).alias("model"),
+    )
+
+
+def ingested(pages: DataFrame) -> DataFrame:
+    """(source, pages, error) of read_binary_pages() rows: the pages read of each file, or why it couldn't be read."""
+    return pages.groupBy("source").agg(F.count("text").alias("pages"), F.max("error").alias("error"))
+
+
 def agent_results(cases: DataFrame, make: Callable[[], Agent]) -> DataFrame:
     """(query, expected_tool, tool_used, correct, response) of a user's agent over test cases."""
 

@@ -17,18 +17,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def score(factor: int, modulus: int = 1000) -> Column:
-    return F.pmod(F.col("id") * factor, F.lit(modulus)).cast("double") / F.lit(float(modulus))
+def score(factor: int, modulus: int = 1000, key: str = "id") -> Column:
+    return F.pmod(F.col(key) * factor, F.lit(modulus)).cast("double") / F.lit(float(modulus))
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "label_id")
+    """Scores before labels: a plan that needs no label has no join, and one that needs no text doesn't send it through one."""
     df = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), F.col("source").alias("model"), F.col("text").alias("response"))
-    df = df.join(labels, df["id"] == labels["label_id"], "left")
     df = df.withColumns(
         {
-            "safety_violation": F.col("toxic") == 1,
-            "factual_correct": F.col("quality") == 1,
             "correctness": score(37),
             "relevance": score(91),
             "clarity": score(53),
@@ -39,7 +36,10 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
             "hallucination": text.hallucination_label(F.col("response"), CUES),
         }
     )
-    return df.withColumn("trust_score", scores.trust_score(*(F.col(c) for c in ("hallucination", "correctness", "relevance", "clarity", "safety")))).drop("label_id", "toxic", "quality")
+    df = df.withColumn("trust_score", scores.trust_score(*(F.col(c) for c in ("hallucination", "correctness", "relevance", "clarity", "safety"))))
+    # one row a document, the worst of its labels: the optimizer drops the join where its columns aren't used
+    worst = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("label_id")).agg((F.max("toxic") == 1).alias("safety_violation"), (F.min("quality") == 1).alias("factual_correct"))
+    return df.join(worst, df["id"] == worst["label_id"], "left").drop("label_id")
 
 
 def _sql_score(factor: int, modulus: int = 1000) -> str:
@@ -57,7 +57,7 @@ TOTAL = "(correctness + relevance + clarity + safety)"
 
 BASE = f"""
 raw AS (SELECT d.doc_id AS id, d.lang AS category, d.source AS model, d.text AS response, l.toxic = 1 AS safety_violation, l.quality = 1 AS factual_correct
-  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+  FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id),
 scored AS (SELECT *, {_sql_score(37)} AS correctness, {_sql_score(91)} AS relevance, {_sql_score(53)} AS clarity, {_sql_score(71)} AS safety,
   CASE WHEN id % 3 <> 0 THEN {_sql_score(17, 100)} END AS tool_accuracy, CASE WHEN id % 11 <> 0 THEN {_sql_score(29)} END AS similarity,
   {_sql_score(13, 9000)} * 90.0::DOUBLE AS latency_s, {_COUNT} AS cues FROM raw),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evalweave.functions import scores, text
 from evalweave.functions.scores import r4
 from evalweave.operators import analytics, failures, leaderboard, pipeline, retrieval
-from evalweave.plans.base import BASE, CUES, MARKS, ROUTES, TOTAL, base, read, sql_round
+from evalweave.plans.base import BASE, CUES, MARKS, ROUTES, TOTAL, base, read, score, sql_round
 from evalweave.streaming import metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,18 +165,18 @@ def _sql_route(column: str) -> str:
     return f"CASE {whens} ELSE 'unknown' END"
 
 
-@query(f"SELECT id, {_sql_route('substr(response, 1, 60)')} AS tool FROM base")
+@query(f"SELECT id, {_sql_route('response')} AS tool FROM base")
 def tool_routing(spark, d):
-    return base(spark, d).select("id", text.route(F.substring("response", 1, 60), ROUTES).alias("tool"))
+    return base(spark, d).select("id", text.route(F.col("response"), ROUTES).alias("tool"))
 
 
 _EXPECTED = "CASE WHEN category = 'fr' THEN 'alpha' WHEN category = 'es' THEN 'unknown' ELSE 'gamma' END"
-_CASES = f"cases AS (SELECT {_EXPECTED} AS expected_tool, {_sql_route('substr(response, 1, 60)')} = {_EXPECTED} AS correct FROM base)"
+_CASES = f"cases AS (SELECT {_EXPECTED} AS expected_tool, {_sql_route('response')} = {_EXPECTED} AS correct FROM base)"
 
 
 def _cases(spark, d):
     expected = F.when(F.col("category") == "fr", "alpha").when(F.col("category") == "es", "unknown").otherwise("gamma")
-    return base(spark, d).select(expected.alias("expected_tool"), (text.route(F.substring("response", 1, 60), ROUTES) == expected).alias("correct"))
+    return base(spark, d).select(expected.alias("expected_tool"), (text.route(F.col("response"), ROUTES) == expected).alias("correct"))
 
 
 @query(f", {_CASES} SELECT expected_tool, count(correct) AS total, CAST(sum(CAST(correct AS INTEGER)) AS BIGINT) AS passed, {sql_round('CAST(sum(CAST(correct AS INTEGER)) AS DOUBLE) / CAST(count(correct) AS DOUBLE)', 4)} AS accuracy FROM cases GROUP BY expected_tool")
@@ -229,14 +229,14 @@ def reason_counts(spark, d):
     return failures.reason_counts(_batch(spark, d))
 
 
-@query(f", {_BATCH} SELECT id, severity FROM batch WHERE NOT passed ORDER BY CASE severity WHEN 'Critical' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END DESC, id LIMIT 100")
+@query(f", {_BATCH} SELECT id, severity FROM batch WHERE NOT passed ORDER BY CASE severity WHEN 'Critical' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END DESC, id")
 def failure_severity_sorted(spark, d):
-    return failures.by_severity(_batch(spark, d), "id").select("id", "severity").limit(100)
+    return failures.by_severity(_batch(spark, d), "id").select("id", "severity")
 
 
-@query(f", {_BATCH} SELECT id, passed, similarity FROM batch ORDER BY passed, coalesce(similarity, 0.0::DOUBLE), id LIMIT 100")
+@query(f", {_BATCH} SELECT id, passed, similarity FROM batch ORDER BY passed, coalesce(similarity, 0.0::DOUBLE), id")
 def failures_first(spark, d):
-    return failures.failures_first(_batch(spark, d), "id").select("id", "passed", "similarity").limit(100)
+    return failures.failures_first(_batch(spark, d), "id").select("id", "passed", "similarity")
 
 
 @query(f", {_BATCH} SELECT id, CASE WHEN length(trim(model_answer, ' ')) > 70 THEN substr(trim(model_answer, ' '), 1, 70) || '…' ELSE trim(model_answer, ' ') END AS label FROM batch ORDER BY id LIMIT 50")
@@ -259,11 +259,25 @@ def token_estimate(spark, d):
     return base(spark, d).select("id", text.token_estimate(F.col("response")).alias("tokens"))
 
 
-@query("SELECT id, prompt_type, hallucination, trust_score FROM (SELECT *, CASE WHEN " + " OR ".join(f"contains(lower(response), '{m}')" for m in MARKS) + " THEN 'Injection' ELSE 'Normal' END AS prompt_type FROM base)")
+_POSITIONS = f"""n AS (SELECT least((SELECT count(*) FROM documents), (SELECT count(*) FROM orders), (SELECT count(*) FROM conversations)) AS n),
+h AS (SELECT row_number() OVER (ORDER BY id) - 1 AS ordinal, id, hallucination FROM base),
+j AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal, {", ".join(f"CAST((o_orderkey * {k}) % 1000 AS DOUBLE) / 1000.0::DOUBLE AS {c}" for c, k in zip(_FOUR, (37, 91, 53, 71), strict=True))} FROM orders),
+i AS (SELECT row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1 AS ordinal, contains(lower(text), 'que') AS hit FROM conversations)"""
+
+
+@query(
+    f""", {_POSITIONS} SELECT ordinal, id, CASE WHEN hit THEN 'Injection' ELSE 'Normal' END AS prompt_type, hallucination, 'phi3' AS model,
+  {sql_round(f"(CASE hallucination WHEN 'Grounded' THEN 1.0::DOUBLE WHEN 'Likely Hallucination' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END + {TOTAL}) / 5.0::DOUBLE", 3)} AS trust_score
+  FROM h JOIN j USING (ordinal) JOIN i USING (ordinal) WHERE ordinal < (SELECT n FROM n)"""
+)
 def positional_merge(spark, d):
-    df = base(spark, d).drop("tool_accuracy", "trust_score")
-    injected = df.select("id", text.injection_label(F.col("response"), MARKS).alias("prompt_type"))
-    return pipeline.merged(df.drop(*_FOUR), df, injected, "id", "phi3").select("id", "prompt_type", "hallucination", "trust_score")
+    """Three sets with ids of their own, as long as the shortest, aligned by position."""
+    turns = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("at"), text.injection_label(F.col("text"), ("que",)).alias("prompt_type"))
+    judge = read(spark, d, "orders").select("o_orderkey", *(score(k, key="o_orderkey").alias(c) for c, k in zip(_FOUR, (37, 91, 53, 71), strict=True)))
+    sets = [(base(spark, d).select("id", "hallucination"), "id"), (judge, "o_orderkey"), (turns, "at")]
+    n = min(df.count() for df, _ in sets)
+    three = [pipeline.numbered(df, key, "ordinal").filter(F.col("ordinal") < n) for df, key in sets]
+    return pipeline.merged(*three, "ordinal", "phi3").select("ordinal", "id", "prompt_type", "hallucination", "model", "trust_score")
 
 
 def _entries(spark, d, which: str):
@@ -335,8 +349,9 @@ def _queries_and_chunks(spark, d):
     return q, e.filter("vec_id % 50 <> 0").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
 
 
-_FOUND = f"""found AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, score FROM
-  (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {sql_round(_COS, 4)} AS score FROM {_UNIT} q, {_UNIT} c WHERE q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0) QUALIFY rank <= 5)"""
+_FOUND = f"""found AS (SELECT query_id, chunk_id, rank, {sql_round("greatest(0.0::DOUBLE, 1.0::DOUBLE - (2.0::DOUBLE - 2.0::DOUBLE * s) / 2.0::DOUBLE)", 4)} AS score FROM
+  (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank, s FROM
+    (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {_COS} AS s FROM {_UNIT} q, {_UNIT} c WHERE q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0)) WHERE rank <= 5)"""
 
 
 @query(f"WITH {_FOUND} SELECT * FROM found", view=False)
@@ -400,17 +415,87 @@ def windowed_events(spark, d):
     return metrics.windowed_counts(read(spark, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-@query()
+def _sql_unit(key: str, salt: str) -> str:
+    return f"(CAST(CAST('0x' || substr(md5({key} || '|{salt}|0'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+@query("SELECT id, category, " + ", ".join(f"0.6::DOUBLE + {_sql_unit('id', c)} * 0.4::DOUBLE AS {c}" for c in _FOUR) + " FROM base")
 def judge_scores(spark, d):
     return pipeline.judged(base(spark, d).select("id", "category"))
 
 
-@query()
+_RUN = ", ".join(f"{sql_round(f'0.5::DOUBLE + {_sql_unit(chr(114) + chr(117) + chr(110), c)} * 0.5::DOUBLE', 3)} AS {c}" for c in _FOUR)
+
+
+@query(
+    f"""SELECT run, id, 'benchmark' AS category, prompt, {", ".join(_FOUR)}, 'phi3' AS model, CASE CAST(floor({_sql_unit("run", "label")} * 3.0::DOUBLE) AS BIGINT) WHEN 0 THEN 'Grounded' WHEN 1 THEN 'Possible Hallucination' ELSE 'Likely Hallucination' END AS hallucination,
+  {sql_round(f"{TOTAL} / 4.0::DOUBLE", 3)} AS trust_score FROM (SELECT r.range AS run, b.item_id AS id, b.text AS prompt, {_RUN.replace("run ||", "r.range ||")} FROM range(50) r
+  JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS turn, count(*) OVER () AS n FROM benchmark) b ON r.range % b.n = b.turn)""",
+    view=False,
+)
 def simulated_run(spark, d):
     prompts = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("benchmark").alias("category"), F.col("text").alias("prompt"))
     return pipeline.simulated(prompts, "phi3", 50)
 
 
+@query(f", {_BATCH} SELECT id, similarity, latency_s FROM batch")
+def sorted_by_latency(spark, d):
+    return failures.by_number(_batch(spark, d), "latency_s", "id", descending=True).select("id", "similarity", "latency_s")
+
+
+@query(f", {_BATCH} SELECT id, reason FROM batch WHERE reason = '{text.REASONS[4]}'")
+def reason_filter(spark, d):
+    return failures.with_reason(_batch(spark, d), text.REASONS[4]).select("id", "reason")
+
+
+@query(
+    f""", {_BATCH} SELECT id, CASE WHEN category = 'fr' THEN '—' ELSE substr(category, 1, 60) END AS expected, substr(model_answer, 1, 80) AS model_answer,
+  coalesce(similarity, 0.0::DOUBLE) AS similarity, CASE WHEN passed THEN 'Pass' ELSE 'Fail' END AS result, latency_s FROM batch"""
+)
+def display_rows(spark, d):
+    df = _batch(spark, d).withColumn("prompt", F.col("id").cast("string")).withColumn("expected_answer", F.when(F.col("category") != "fr", F.col("category")))
+    return failures.display_rows(df).select(F.col("prompt").cast("long").alias("id"), "expected", "model_answer", "similarity", "result", "latency_s")
+
+
+@query("SELECT id, category FROM base WHERE model = 'src3' ORDER BY id LIMIT 1")
+def point_lookup(spark, d):
+    return analytics.first_with(base(spark, d), "model", "src3", "id").select("id", "category")
+
+
+@query(f", {_BATCH} SELECT id FROM batch WHERE similarity IS NOT NULL")
+def scored_rows(spark, d):
+    return analytics.scored(_batch(spark, d)).select("id")
+
+
+@query("SELECT model, 'standard' AS dataset, count(*) AS total, CAST(0 AS BIGINT) AS passed, TIMESTAMP '2024-01-01 00:00:00' AS timestamp FROM base WHERE model IS NOT NULL GROUP BY model")
+def standard_entries(spark, d):
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    return leaderboard.standard_entries(base(spark, d), at).drop("accuracy")
+
+
+@query(
+    f""", {_CASES} SELECT (SELECT {sql_round("CAST(count(*) FILTER (correct) AS DOUBLE) / CAST(count(*) AS DOUBLE)", 4)} FROM cases) AS tool_accuracy, (SELECT count(*) FROM cases) AS total_tests,
+  tool_used, count(*) AS n FROM (SELECT {_sql_route("response")} AS tool_used FROM base) GROUP BY tool_used"""
+)
+def agent_tools(spark, d):
+    """How often each tool is taken, beside the accuracy of all."""
+    used = base(spark, d).select(text.route(F.col("response"), ROUTES).alias("tool_used")).groupBy("tool_used").agg(F.count("*").alias("n"))
+    return used.crossJoin(F.broadcast(analytics.agent_accuracy(_cases(spark, d)).select("tool_accuracy", "total_tests")))  # one row
+
+
+def _batch_run(spark, d):
+    """Benchmark items asked of the conversations' turns; the answer repeats the end of the prompt."""
+    prompts = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("prompt"), F.col("text").alias("expected_answer"))
+    turns = read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("source"), F.col("turn").alias("page"), F.lit(0).alias("pos"), "text")
+    chunks = retrieval.embedded(retrieval.indexed_chunks(turns), retrieval.HashEmbedder)
+    return retrieval.batch_run(prompts, chunks, retrieval.HashEmbedder, retrieval.Echo, "echo")
+
+
+@query()
+def batch_run(spark, d):
+    return _batch_run(spark, d)
+
+
 @query()
 def recursive_chunks(spark, d):
     df = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), F.lit(0).alias("page"), "text")

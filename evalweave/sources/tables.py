@@ -38,9 +38,20 @@ def read_prompts(spark: SparkSession, path: str, category: str | None = None) ->
     return df if category is None else df.filter(F.col("category") == category)
 
 
+def read_agent_cases(spark: SparkSession, path: str) -> DataFrame:
+    """An agent's test cases; a missing file is an error, an empty list an empty table."""
+    return read_json(spark, path, AGENT_CASE, missing_ok=False)
+
+
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """An uploaded set of prompts, JSON or CSV by its suffix; a CSV needs a row and a prompt column."""
+    """An uploaded set of prompts, JSON or CSV by its suffix; a CSV needs a row and a prompt column, a JSON file a list.
+
+    Bytes of a CSV that aren't UTF-8 are read as replacement characters.
+    """
     if path.lower().endswith(".json"):
+        first = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value", F.lit(" \t\r\n\ufeff")), 1, 1)).first()
+        if first is None or first[0] != "[":
+            raise ValueError("a JSON dataset is a list of objects")
         return read_json(spark, path, "prompt string, expected_answer string", missing_ok=False)
     if not path.lower().endswith(".csv"):
         raise ValueError("a dataset is a .json or a .csv file")
@@ -63,6 +74,19 @@ def read_projects(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.explode("projects").alias("p")).select(F.col("p.name").alias("project"), F.explode("p.categories").alias("category"))
 
 
+MODULES = (
+    ("Hallucination labels", "functions.text.hallucination_label", "Finds phrases that go with made-up facts in a response"),
+    ("Judge", "operators.pipeline.judged", "Gives a response scores for correctness, relevance, clarity and safety"),
+    ("Injection labels", "functions.text.injection_label", "Finds prompts that try to override a model's instructions"),
+    ("Leaderboard", "operators.leaderboard.model_scores", "Ranks models by their mean weighted score"),
+)
+
+
+def module_catalog(spark: SparkSession) -> DataFrame:
+    """(name, file, purpose) of the evaluation modules."""
+    return spark.createDataFrame(MODULES, "name string, file string, purpose string")
+
+
 def open_chunks(spark: SparkSession, path: str) -> DataFrame:
     """A stored chunk collection; FileNotFoundError if there is none."""
     if not _exists(spark, path):
@@ -100,6 +124,11 @@ def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("append").format(fmt).save(path)
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """A nested report of one row, as JSON; nulls are kept."""
+    report.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def upsert_chunks(spark: SparkSession, new: DataFrame, path: str) -> None:
     """Append the chunks whose id isn't stored yet; ids are hashes of contents, so ingesting twice adds nothing."""
     new = new.dropDuplicates(["chunk_id"])

@@ -113,8 +113,8 @@ def test_bad_files_are_rows(spark, tmp_path):
 def test_exports(spark):
     df = spark.createDataFrame([(1, "p", "e", "m" * 400, None, False), (2, "q", "e", "m", 0.5, True)], "id long, prompt string, expected_answer string, model_answer string, similarity double, passed boolean")
     assert export.csv_rows(df).select("Similarity").first()[0] == "0.00%"
-    report = json.loads(export.json_report(df, "id", "set", "2024-01-01").first()[0])
-    assert report["metadata"]["passed"] == 1 and report["results"][0]["similarity"] is None
+    meta = export.json_metadata(df, "set", F.lit("2024-01-01").cast("timestamp")).first()
+    assert (meta["total"], meta["passed"], meta["generated_at"]) == (2, 1, "2024-01-01T00:00:00.000000") and export.json_rows(df, "id").first()["similarity"] is None
     r = export.printed_rows(df, "id").first()
     assert len(r["model_answer"]) == 301 and r["similarity"] == "—"
 
