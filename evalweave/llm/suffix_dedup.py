@@ -106,14 +106,15 @@ class Suffixes:
         if self.size:
             name, check, item, extra = (np.concatenate(x) for x in zip(*self.held, strict=True))
             self.held, self.size = [], 0
-            name, check, item, extra, company, first = settled(name, check, item, extra)
-            extra = extra | company
+            name, check, item, extra, company, first, index = settled(name, check, item, extra)
+            back = np.argsort(index)  # in the order of documents, blobs compress well
+            name, check, item, extra, first = name[back], check[back], item[back], (extra | company)[back], first[back]
             bucket = np.where(first, bucket_of(name, self.buckets), -1 - (mix(item.view(np.uint64)) % np.uint64(self.buckets)).astype(np.int32))
             yield blobs(bucket.astype(np.int32), {"keys": name, "checks": check, "items": item, "extra": extra})
 
 
 def settled(name: np.ndarray, check: np.ndarray, item: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Suffixes sorted by name, document and place, each once, with (has company, is the first of its name)."""
+    """Suffixes sorted by name, document and place, each once, with (has company, is the first of its name, its index)."""
     order = np.lexsort((extra, item, check, name))
     name, check, item, extra = name[order], check[order], item[order], extra[order]
     place = extra >> 1
@@ -125,7 +126,7 @@ def settled(name: np.ndarray, check: np.ndarray, item: np.ndarray, extra: np.nda
     name, check, item, extra = name[start], check[start], item[start], extra[start] & ~1
     same = (name[1:] == name[:-1]) & (check[1:] == check[:-1])
     before, after = np.concatenate([[False], same]), np.concatenate([same, [False]])
-    return name, check, item, extra, (before | after | (known == 1))[: len(name)].astype(np.int64), ~before[: len(name)]
+    return name, check, item, extra, (before | after | (known == 1))[: len(name)].astype(np.int64), ~before[: len(name)], order[start]
 
 
 def _documents(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -175,7 +176,7 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         name, check, item, extra = (joined(table.column(c), t) for c, t in (("keys", np.uint64), ("checks", np.uint64), ("items", np.int64), ("extra", np.int64)))
         if table.column("bucket")[0].as_py() < 0:
             return hand(item, extra & ~1)
-        _, _, item, extra, company, first = settled(name, check, item, extra)
+        _, _, item, extra, company, first, _ = settled(name, check, item, extra)
         some = company == 1
         return hand(item[some], extra[some] | first[some])
 
