@@ -54,4 +54,4 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_mixing, op4_lm_scoring, op5_language_id, op6_ann, op7_url_filter, op8_quality, op9_jaccard_join, op10_topk)}
 
-ORACLES = {"op2_suffix_dedup": sqltext.SUFFIX, "op3_mixing": sqltext.MIXING, "op10_topk": sqltext.TOPK}
+ORACLES = {"op2_suffix_dedup": sqltext.SUFFIX, "op3_mixing": sqltext.MIXING, "op9_jaccard_join": sqltext.JACCARD, "op10_topk": sqltext.TOPK}
