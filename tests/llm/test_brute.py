@@ -330,7 +330,7 @@ def test_scan_abandons_only_what_is_far():
 
 def test_crowded_signatures_are_paired_in_tiles():
     names = np.arange(1, 3001, dtype=np.uint64) << np.uint64(24) | np.arange(3000, dtype=np.uint64)
-    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.zeros(3000, np.uint32).tobytes()]), pa.array([names.tobytes()])], ["bucket", "keys", "names"])
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([b"\0" + np.zeros(3000, np.uint32).tobytes()]), pa.array([names.tobytes()])], ["bucket", "keys", "names"])
     seen = set()
     for out in partenum.meet(iter([batch])):
         assert len(out) <= 2 * partenum.HELD
@@ -338,6 +338,18 @@ def test_crowded_signatures_are_paired_in_tiles():
     assert len(seen) == 3000 * 2999 // 2
 
 
+def test_packed_signatures_come_back():
+    rng = np.random.default_rng(14)
+    for n, buckets in ((1, 1), (50, 3), (5000, 3), (200_000, 2)):
+        token, names = rng.integers(0, 2**64, n, dtype=np.uint64), rng.integers(0, 2**64, n, dtype=np.uint64)
+        batch = partenum.packed_signatures(token, names, buckets)
+        got = set()
+        for k, b in enumerate(batch.column("bucket").to_pylist()):
+            keys = partenum.unpacked_keys(pa.chunked_array([batch.column("keys").slice(k, 1)]))
+            got |= {(b, *x) for x in zip(keys.tolist(), np.frombuffer(batch.column("names")[k].as_py(), dtype=np.uint64).tolist(), strict=True)}
+        assert got == set(zip(partenum.bucket_of(token, buckets).tolist(), (token & np.uint64(0xFFFFFFFF)).tolist(), names.tolist(), strict=True))
+
+
 def test_many_near_equal_texts(spark):
     rng = random.Random(11)
     base = [f"w{k}" for k in range(60)]
