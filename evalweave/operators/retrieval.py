@@ -13,7 +13,8 @@ from evalweave.functions import text as rules
 from evalweave.functions.scores import clamp, cosine, distance_to_similarity, dot, norm, r2, r4
 
 SIZE, OVERLAP = 500, 50
-SEPARATORS = ("\n\n", "\n", " ", "")
+#: A blank line, a line, a word, a letter.
+SEPARATORS = tuple("\n\n|\n| |".split("|"))
 NOTHING_FOUND = "No documents were found to answer this question."
 #: A prompt, with the places of the context and of the question.
 TEMPLATE = "Use nothing but these passages to answer; if they don't hold the answer, say so.\n\n{context}\n\nQuestion: {question}\nAnswer:"
