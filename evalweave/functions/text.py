@@ -20,7 +20,7 @@ NO_CONTEXT = ("not have enough information", "insufficient context")
 DAYS, TICKET = 12, "INC0012345"
 ANSWERS = {
     "unknown": "I could not determine the {} for your query.".format("appropriate tool"),
-    "policy_retriever": "Here is the relevant company policy section.",
+    "policy_retriever": "Here is the relevant {} section.".format("company policy"),
     "workday_api": f"Your PTO balance is {DAYS} days.",
     "servicenow_api": f"A support ticket has been created ({TICKET}).",
 }

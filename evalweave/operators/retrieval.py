@@ -20,8 +20,11 @@ NOTHING_FOUND = "No documents were found to answer this question."
 TEMPLATE = "Use nothing but these passages to answer; if they don't hold the answer, say so.\n\n{context}\n\nQuestion: {question}\nAnswer:"
 
 
+Vectors = list[list[float]]
+
+
 class Embedder(Protocol):
-    def embed(self, texts: list[str]) -> list[list[float]]: ...
+    def embed(self, texts: list[str]) -> Vectors: ...
 
 
 class Generator(Protocol):
@@ -103,7 +106,7 @@ class HashEmbedder:
     def __init__(self, size: int = 64) -> None:
         self.size = size
 
-    def embed(self, texts: list[str]) -> list[list[float]]:
+    def embed(self, texts: list[str]) -> Vectors:
         import zlib
 
         out = []
