@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -96,8 +96,7 @@ def embedded(df: DataFrame, make: Callable[[], Embedder], column: str = "text")
         for pdf in batches:
             yield pdf.assign(embedding=model.embed(pdf[column].fillna("").tolist()))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{schema}, embedding array<float>")
+    return df.mapInPandas(run, f"{_ddl(df)}, embedding array<float>")
 
 
 class HashEmbedder:
@@ -159,23 +158,31 @@ def grounding(found: DataFrame) -> DataFrame:
     return g.withColumn("hallucination_risk", r4(F.lit(1.0) - F.col("faithfulness")))
 
 
+def _block() -> Column:
+    return F.format_string("[%d] (Source: %s, Page: %s)\n%s", F.col("rank"), F.coalesce("source", F.lit("unknown")), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.coalesce("text", F.lit("")))
+
+
+def _ranked(**columns: Column) -> Column:
+    """The rows of a group by rank, as structs of the given columns."""
+    return F.array_sort(F.collect_list(F.struct("rank", *(c.alias(n) for n, c in columns.items()))))
+
+
 def context_blocks(df: DataFrame) -> DataFrame:
     """(query_id, context): the ranked chunks of each query, numbered and labelled, a blank line between."""
-    block = F.format_string("[%d] (Source: %s, Page: %s)\n%s", F.col("rank"), F.coalesce("source", F.lit("unknown")), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.col("text"))
-    ranked = F.array_sort(F.collect_list(F.struct("rank", block.alias("b"))))
-    return df.groupBy("query_id").agg(F.array_join(F.transform(ranked, lambda x: x["b"]), "\n\n").alias("context"))
+    return df.groupBy("query_id").agg(F.array_join(F.transform(_ranked(b=_block()), lambda x: x["b"]), "\n\n").alias("context"))
 
 
 def assembled(queries: DataFrame, context: DataFrame, template: str = TEMPLATE) -> DataFrame:
-    """(query_id, prompt) from (query_id, question) and the context of context_blocks(); without context the prompt is null."""
+    """(query_id, prompt) from (query_id, question) and the context of context_blocks(); without context the prompt is null. Other columns of context stay."""
     before, after = template.split("{context}")
-    both = queries.select("query_id", "question").join(context.select("query_id", "context"), "query_id", "left")
+    both = queries.select("query_id", "question").join(context, "query_id", "left")
     parts = [F.lit(x) for x in after.split("{question}")]
-    return both.select("query_id", F.concat(F.lit(before), F.col("context"), parts[0], F.col("question"), parts[1]).alias("prompt"))
+    prompt = F.concat(F.lit(before), F.col("context"), parts[0], F.col("question"), parts[1]).alias("prompt")
+    return both.select("query_id", prompt, *(c for c in context.columns if c not in ("query_id", "context")))
 
 
-def answered(prompts: DataFrame, make: Callable[[], Generator]) -> DataFrame:
-    """prompts (query_id, prompt) with answer, error and generation seconds.
+def answered(prompts: DataFrame, make: Callable[[], Generator], keep: Sequence[str] = ()) -> DataFrame:
+    """prompts (query_id, prompt and the columns to keep) with answer, error and generation seconds.
 
     A generator's failure is an error string, not an exception; an empty or null prompt gets the fixed answer in no time.
     """
@@ -198,7 +205,12 @@ def answered(prompts: DataFrame, make: Callable[[], Generator]) -> DataFrame:
                 rows.append((answer, error, round(time.perf_counter() - began, 3)))
             yield pdf.assign(**dict(zip(("answer", "error", "seconds"), zip(*rows, strict=True) if rows else ((), (), ()), strict=True)))
 
-    return prompts.select("query_id", "prompt").mapInPandas(run, "query_id long, prompt string, answer string, error string, seconds double")
+    given = prompts.select(F.col("query_id").cast("long").alias("query_id"), "prompt", *keep)
+    return given.mapInPandas(run, f"{_ddl(given)}, answer string, error string, seconds double")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def retriever(chunks: DataFrame, make: Callable[[], Embedder], k: int = 3) -> Callable[..., DataFrame]:
@@ -221,14 +233,15 @@ def query_run(queries: DataFrame, chunks: DataFrame, embedder: Callable[[], Embe
     """
     found = retriever(chunks, embedder, k)(queries)
     label = rules.source_label(F.col("source"), F.col("chunk_index"), F.col("page"))
-    labels = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", label.alias("label")))).alias("s"))
-    made = answered(assembled(queries, context_blocks(found)), generator).join(labels, "query_id", "left")
+    ranked = found.groupBy("query_id").agg(_ranked(b=_block(), s=label).alias("found"))
+    context = ranked.select("query_id", F.array_join(F.transform("found", lambda x: x["b"]), "\n\n").alias("context"), F.transform("found", lambda x: x["s"]).alias("s"))
+    made = answered(assembled(queries, context), generator, ["s"])
     took = F.lit(float(retrieval_seconds))
     return made.select(
         "query_id",
         "answer",
         "error",
-        F.coalesce(F.transform("s", lambda x: x["label"]), F.array().cast("array<string>")).alias("sources"),
+        F.coalesce("s", F.array().cast("array<string>")).alias("sources"),
         F.coalesce(F.size("s"), F.lit(0)).alias("context_chunks"),
         took.alias("retrieval_time"),
         F.col("seconds").alias("generation_time"),
@@ -250,11 +263,15 @@ def batch_run(prompts: DataFrame, chunks: DataFrame, embedder: Callable[[], Embe
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = embedder()
         for pdf in batches:
-            vectors = encoder.embed(pdf["expected_answer"].tolist() + pdf["answer"].tolist()) if len(pdf) else []
-            yield pd.DataFrame({"query_id": pdf["query_id"], "a": vectors[: len(pdf)], "b": vectors[len(pdf) :]})
-
-    judged = both.filter("expected_answer <> '' AND error IS NULL").select("query_id", "expected_answer", "answer").mapInPandas(compare, "query_id long, a array<double>, b array<double>")
-    scored = both.join(judged.select("query_id", r4(cosine(F.col("a"), F.col("b"))).alias("similarity")), "query_id", "left")
+            told = [bool(e) and not isinstance(x, str) for e, x in zip(pdf["expected_answer"], pdf["error"], strict=True)]
+            texts = pdf["expected_answer"][told].tolist() + pdf["answer"][told].tolist()
+            vectors = iter(encoder.embed(texts) if texts else [])
+            expected = [next(vectors) if t else None for t in told]
+            yield pdf.assign(a=expected, b=[next(vectors) if t else None for t in told])
+
+    # in one pass, so that no answer is generated twice
+    judged = both.mapInPandas(compare, f"{_ddl(both)}, a array<double>, b array<double>")
+    scored = judged.withColumn("similarity", F.when(F.col("a").isNotNull(), r4(cosine(F.col("a"), F.col("b")))))
     failed = F.col("error").isNotNull()
     return scored.select(
         F.col("query_id").alias("id"),
