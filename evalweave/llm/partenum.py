@@ -14,16 +14,18 @@ signature.) The order puts rare features first, by counts over the whole corpus
 size, then by hash; it steers the cost, never the result. A signature being two rare features, sets
 that aren't similar hardly ever share one, however large the corpus.
 
-Equal texts are one entity, under a 64-bit hash of the text, whatever their number. Signatures travel as
-packed blobs, sorted and their upper halves as differences, of four bytes of the signature and eight that name its set: 40 bits
-of its entity and 24 of the set's least signature under another hash. Two sets with equal least signatures are paired there and nowhere
-else, which spares most repeats of a pair (two different ones look equal with a chance of 6e-8 a
-pair, which then is lost). A signature that thousands of sets share is paired in tiles. Candidate pairs are
-first held against parity bitmaps of the sets, which never rule out a similar pair, and what is left is
-compared as whole sets of 48-bit features, both in cells of bounded size.
-
-Edge cases: null or blank text has no features and joins nothing. Rows with one doc_id are one
-document if their texts are equal, else each takes part under the same id; rows with null doc_id are
+Equal texts are one entity, under a 64-bit hash of the text, whatever their number. Near copies come in crowds whose pairs
+grow with their square, so entities are first gathered in stars: those that share the feature next to two of MINIMA places of the hash
+space with a leader, and are similar to it. This steers cost only. Signatures then name the star of their set, not the set, and travel as
+packed blobs, sorted and their upper halves as differences, of four bytes of the signature and eight of its star's leader. A
+signature that thousands of stars share is paired in tiles. As 1 - Jaccard is a metric, sets of two stars can be similar only if
+the leaders' similarity reaches the threshold less what both stars' widest members are apart from them; pairs of leaders are first
+held against parity bitmaps, which never rule out such a pair, and what is left is compared as whole sets of 48-bit features, both
+in cells of bounded size. Stars that may touch make a block, whose sets are sent once, or in chunks of bounded size to every pair
+of chunks, and compared all with all by products of matrices. A tile hands on counts of links and a spanning forest, never the pairs.
+
+Edge cases: null or blank text has no features and links with nothing. Each distinct text of a doc_id is a document; those of one
+doc_id are in one class, and its links are counted together. Rows with null doc_id are
 ignored. Ties don't arise; other columns are ignored. An empty table gives an empty result.
 """
 
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.llm.common import arrow_batches, cut, gram_hashes, has_words, int64s, mix, raw_texts, sent_if_small, word_bounds, word_hashes
-from evalweave.llm.exchange import FLUSH, bucket_of, buckets_for, joined
+from evalweave.llm.exchange import FLUSH, blobs, bucket_of, buckets_for, joined
 
 NGRAM = 2
 THRESHOLD = 0.7
@@ -48,8 +50,11 @@ COUNTERS, SLICES = 1 << 20, 64
 BUCKET, HELD, TILE = 1 << 21, 1 << 21, 512
 #: Rows of two or three ids, a few MB, up to which a table is sent to what it is joined with; beyond, both are shuffled.
 SENT = 500_000
+#: Places of the hash space by whose next features stars are found; sets, bytes of text and columns of a chunk that is compared with others.
+MINIMA, CHUNK, CHUNK_BYTES, COLUMNS = 8, 4096, 8 << 20, 2048
 _BAND = np.uint64(0x9E3779B97F4A7C15)
-_LEAST = (1 << 24) - 1
+_SALTS = np.arange(1, MINIMA + 1, dtype=np.uint64) * _BAND
+_PLACES = np.arange(MINIMA, dtype=np.uint64) << np.uint64(61)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -166,7 +171,7 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b), a < b, of 40-bit names whose sets share a signature of a bucket (keys, names)."""
+    """The pairs (a, b) of names that share a signature of a bucket (keys, names)."""
     table = pa.Table.from_batches(batches)
     keys, names = unpacked_keys(table.column("keys")), joined(table.column("names"), np.uint64)
     del table
@@ -185,11 +190,8 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def row(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["a", "b"])
 
-    least, code = names & np.uint64(_LEAST), names >> np.uint64(24)
     for p, q in _pairs(np.diff(np.append(first, len(keys))), first):
-        here = (least[p] != least[q]) | (least[p] == (keys[p] & np.uint32(_LEAST)))
-        p, q = p[here], q[here]
-        lows.append(np.minimum(code[p], code[q])), highs.append(np.maximum(code[p], code[q]))
+        lows.append(names[p]), highs.append(names[q])  # names rise within a run
         held += len(p)
         if held > HELD:
             a, b = _distinct(np.concatenate(lows), np.concatenate(highs))
@@ -231,8 +233,52 @@ def unpacked_keys(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def minima(grams: np.ndarray) -> np.ndarray:
+    """The first of a set's sorted features at or after each of MINIMA places that split the hash space evenly, going round; scrambled."""
+    return mix(mix(grams[np.searchsorted(grams, _PLACES) % len(grams)]) + _SALTS)
+
+
+def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of the least item under a key of a bucket (keys, items) with each other, once a key."""
+    table = pa.Table.from_batches(batches)
+    keys, items = joined(table.column("keys"), np.uint64), joined(table.column("items"), np.int64)
+    order = np.lexsort((items, keys))
+    keys, items = keys[order], items[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, dtype=np.int64)
+    root = np.repeat(items[first], np.diff(np.append(first, len(keys))))
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (items[1:] != items[:-1])]) if len(keys) else np.empty(0, dtype=bool)
+    new &= root != items
+    yield pa.RecordBatch.from_arrays([pa.array(root[new]), pa.array(items[new])], ["a", "b"])
+
+
+def stars(docs: DataFrame, lead: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(entity, leader, jaccard): entities with a leader that they are similar to and that has none itself."""
+    buckets = buckets_for(MINIMA * lead.count(), BUCKET)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, items = [], []
+        for b in batches:
+            for raw, e in zip(raw_texts(b.column("text")), int64s(b.column("entity")).tolist(), strict=True):
+                held.append(minima(features(raw, n))), items.append(e)
+            if len(held) * MINIMA >= FLUSH // 2:
+                keys = np.concatenate(held)
+                yield blobs(bucket_of(keys, buckets), {"keys": keys, "items": np.repeat(np.array(items, dtype=np.int64), MINIMA)})
+                held, items = [], []
+        if held:
+            keys = np.concatenate(held)
+            yield blobs(bucket_of(keys, buckets), {"keys": keys, "items": np.repeat(np.array(items, dtype=np.int64), MINIMA)})
+
+    signed = docs.select("entity", "text").mapInArrow(sign, "bucket int, keys binary, items binary")
+    # two of eight minima, which sets at the threshold rarely lack; it steers cost only
+    pairs = signed.groupBy("bucket").applyInArrow(_starred, "a long, b long").groupBy("a", "b").count().filter("count > 1").select("a", "b", F.lit(float(threshold)).alias("least"))
+    near = cut(_compared(docs, cut(pairs), lead, n, True))
+    near = cut(_compared(docs, near, lead, n, False))
+    led = near.select(F.col("b").alias("a")).distinct()
+    return cut(near.join(led, "a", "left_anti").groupBy(F.col("b").alias("entity")).agg(F.min(F.struct("a", "jaccard")).alias("s")).select("entity", F.col("s.a").alias("leader"), "s.jaccard"))
+
+
 def candidates(docs: DataFrame, size: int, n: int, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of the 40 high bits of entities that share a signature. size: bytes of all texts."""
+    """Distinct pairs (a, b) of the names in docs (name, text) that share a signature. size: bytes of all texts."""
     level = docs.sparkSession.sparkContext.broadcast(commonness(docs, n))
     buckets = buckets_for(size // 8, BUCKET)  # about a signature for each eight bytes
 
@@ -243,12 +289,7 @@ def candidates(docs: DataFrame, size: int, n: int, threshold: float) -> DataFram
                 b = whole.slice(k, 1024)
                 sets = [features(raw, n) for raw in raw_texts(b.column("text"))]
                 token, who = signatures(sets, threshold, level.value)
-                order = np.lexsort((mix(token), who))
-                begin = np.flatnonzero(np.concatenate([[True], who[order][1:] != who[order][:-1]])) if len(who) else np.empty(0, dtype=np.int64)
-                least = np.zeros(len(sets), dtype=np.uint64)
-                least[who[order][begin]] = token[order][begin] & np.uint64(_LEAST)
-                name = (int64s(b.column("entity")).view(np.uint64) & ~np.uint64(_LEAST)) | least
-                held.append((token, name[who]))
+                held.append((token, int64s(b.column("name")).view(np.uint64)[who]))
                 size += len(token)
                 if size >= FLUSH // 2:
                     yield packed_signatures(*(np.concatenate(h) for h in zip(*held, strict=True)), buckets)
@@ -256,8 +297,8 @@ def candidates(docs: DataFrame, size: int, n: int, threshold: float) -> DataFram
         if size:
             yield packed_signatures(*(np.concatenate(h) for h in zip(*held, strict=True)), buckets)
 
-    signed = docs.select("entity", "text").mapInArrow(sign, "bucket int, keys binary, names binary")
-    return signed.groupBy("bucket").applyInArrow(meet, "a long, b long").filter("a <> b").distinct()
+    signed = docs.select("name", "text").mapInArrow(sign, "bucket int, keys binary, names binary")
+    return signed.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
 def bitmap(grams: np.ndarray) -> bytes:
@@ -270,8 +311,9 @@ def bitmap(grams: np.ndarray) -> bytes:
     return np.packbits(parity.astype(bool), bitorder="little").tobytes()
 
 
-def _may_reach(pairs: pa.Table, maps: pa.Table, threshold: float) -> pa.Table:
-    """The pairs whose sizes and bitmaps don't rule the threshold out."""
+def _may_reach(pairs: pa.Table, maps: pa.Table) -> pa.Table:
+    """The pairs whose sizes and bitmaps don't rule out the similarity that each must have at least."""
+    threshold = np.maximum(pairs.column("least").to_numpy(), 0)
     ids, sizes = maps.column("entity").to_numpy(), maps.column("size").to_numpy()
     blobs = maps.column("blob").to_pylist()
     order = np.argsort(ids)
@@ -292,7 +334,7 @@ def _may_reach(pairs: pa.Table, maps: pa.Table, threshold: float) -> pa.Table:
             x, y = (np.searchsorted(used, side[g]) for side in where)
             apart = np.bitwise_count(folded[x] ^ folded[y]).sum(axis=1, dtype=np.int64)
             keep[g] = apart <= slack[g]
-    return pa.table({"a": ends[0][keep], "b": ends[1][keep]})
+    return pairs.select(["a", "b", "least"]).filter(pa.array(keep))
 
 
 def packed_set(grams: np.ndarray) -> bytes:
@@ -300,25 +342,26 @@ def packed_set(grams: np.ndarray) -> bytes:
     return np.ascontiguousarray(grams.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
 
 
-def _reach(pairs: pa.Table, sets: pa.Table, threshold: float) -> pa.Table:
-    """The pairs whose sets reach the threshold, with their similarity."""
-    found = {}
-    for e, blob in zip(sets.column("entity").to_pylist(), sets.column("blob").to_pylist(), strict=True):
-        whole = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
-        whole[:, 2:] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
-        found[e] = whole.view(np.uint64).ravel()
+def unpacked_set(blob: bytes) -> np.ndarray:
+    whole = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
+    whole[:, 2:] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
+    return whole.view(np.uint64).ravel()
+
+
+def _reach(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """The pairs whose sets reach the similarity that each must have at least, with it."""
+    found = {e: unpacked_set(blob) for e, blob in zip(sets.column("entity").to_pylist(), sets.column("blob").to_pylist(), strict=True)}
     out = []
-    a, b = (pairs.column(c).to_numpy() for c in ("a", "b"))
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+    for x, y, threshold in zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "least")), strict=True):
         p, q = found[x], found[y]
         at = np.searchsorted(p, q)
         at[at == len(p)] = 0
         common = int(np.count_nonzero(p[at] == q))
         whole = len(p) + len(q) - common
         if common >= threshold * whole - 1e-9:
-            out.append((x, y, common / whole))
-    x, y, j = zip(*out, strict=True) if out else ((), (), ())
-    return pa.table([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(j, pa.float64())], ["a", "b", "jaccard"])
+            out.append((x, y, threshold, common / whole))
+    x, y, t, j = zip(*out, strict=True) if out else ((), (), (), ())
+    return pa.table([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(t, pa.float64()), pa.array(j, pa.float64())], ["a", "b", "least", "jaccard"])
 
 
 def _in_cells(pairs: DataFrame, each: int) -> DataFrame:
@@ -334,11 +377,11 @@ def _in_cells(pairs: DataFrame, each: int) -> DataFrame:
     crowded = rooted.groupBy("root").count().filter(F.col("count") > TILE * TILE).select("root", F.ceil(F.sqrt(F.col("count").cast("double")) / TILE).cast("int").alias("tiles"))
     tiled = rooted.join(sent_if_small(cut(crowded), SENT), "root", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     place = F.xxhash64("root", F.pmod(F.xxhash64("a"), "tiles"), F.pmod(F.xxhash64("b"), "tiles"))
-    return tiled.select("a", "b", F.pmod(place, F.lit(cells)).cast("int").alias("cell"))
+    return tiled.select("a", "b", "least", F.pmod(place, F.lit(cells)).cast("int").alias("cell"))
 
 
-def _compared(docs: DataFrame, pairs: DataFrame, lead: DataFrame, n: int, small: bool, threshold: float) -> DataFrame:
-    """The pairs of entities that the bitmaps (small) or else the sets themselves let through. lead: (entity, lead), the least doc_id of each entity."""
+def _compared(docs: DataFrame, pairs: DataFrame, lead: DataFrame, n: int, small: bool) -> DataFrame:
+    """The pairs of entities that the bitmaps (small) or else the sets themselves let through. pairs: (a, b, least), with the least similarity wanted; lead: (entity, lead), the least doc_id of each entity."""
     cells = cut(_in_cells(pairs, 1 << 16 if small else 1 << 13))
     wanted = cells.select(F.explode(F.array("a", "b")).alias("entity"), F.col("cell").alias("place")).groupBy("entity").agg(F.collect_set("place").alias("places"))
     few = cut(wanted.join(lead, "entity").select("entity", F.col("lead").alias("doc_id"), "places"))
@@ -357,48 +400,171 @@ def _compared(docs: DataFrame, pairs: DataFrame, lead: DataFrame, n: int, small:
     sent = texts.select("entity", "places", "text").mapInArrow(blobs, "place int, entity long, size int, blob binary")
 
     def judge(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        return (_may_reach if small else _reach)(pairs, sets, threshold)
-
-    return cells.groupBy("cell").cogroup(sent.groupBy("place")).applyInArrow(judge, "a long, b long" + ("" if small else ", jaccard double"))
+        return (_may_reach if small else _reach)(pairs, sets)
 
+    return cells.groupBy("cell").cogroup(sent.groupBy("place")).applyInArrow(judge, "a long, b long, least double" + ("" if small else ", jaccard double"))
 
-def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard): the near-duplicate pairs, each between the smallest ids of two entities.
 
-    Copies with equal texts appear as pairs of the smallest id of their entity with each other
-    id, with Jaccard 1; every similar pair of documents follows from these rows, and the rows grow with
-    the documents, not with the square of a group of copies.
+def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set the weight of those across that it is similar to, and a set of its component. left, right: the same numbers of sets, or disjoint ones."""
+    alone = left is right
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    owner, column = owner[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column, width = owner[order], column[order], int(np.count_nonzero(shared))
+    common = np.zeros((len(left), len(right)), dtype=np.float32)  # whole numbers below 2**24
+    for k in range(0, width, COLUMNS):
+        who, what = (x[slice(*np.searchsorted(column, [k, k + COLUMNS]))] for x in (owner, column))
+        sides = []
+        for side in (left,) if alone else (left, right):
+            row = np.full(len(sets), -1)
+            row[side] = np.arange(len(side))
+            ours, m = row[who] >= 0, np.zeros((len(side), min(COLUMNS, width - k)), dtype=np.float32)
+            m[row[who[ours]], what[ours] - k] = 1
+            sides.append(m)
+        common += sides[0] @ sides[-1].T
+    hit, links = np.zeros(common.shape, dtype=bool), np.zeros(len(sets), dtype=np.int64)
+    for k in range(0, len(left), 256):
+        some = common[k : k + 256].astype(np.float64)
+        near = some >= threshold * (sizes[left[k : k + 256], None] + sizes[None, right] - some) - 1e-9
+        if alone:
+            near[np.arange(len(near)), k + np.arange(len(near))] = False
+        hit[k : k + 256], near = near, near.astype(np.float64)
+        links[left[k : k + 256]] += (near @ weight[right]).astype(np.int64)
+        if not alone:
+            links[right] += (weight[left[k : k + 256]] @ near).astype(np.int64)
+    root = np.arange(len(sets))
+    if alone:
+        np.fill_diagonal(hit, True)
+    free, other = np.ones(len(left), dtype=bool), np.ones(len(right), dtype=bool)
+    for first in np.flatnonzero(links[left]).tolist():
+        at = np.array([first]) if free[first] else np.empty(0, dtype=np.int64)
+        free[first] = False
+        while len(at):
+            root[left[at]] = left[first]
+            across = np.flatnonzero(hit[at].any(axis=0) & other)
+            root[right[across]], other[across] = left[first], False
+            at = np.flatnonzero(hit[:, across].any(axis=1) & free)
+            free[at] = False
+    return links, root
+
+
+def _blocks(near: DataFrame, followers: DataFrame, lead: DataFrame) -> DataFrame:
+    """(entity, doc_id, copies, block, chunk, chunks) of the entities of stars that may touch, a block each, in chunks of bounded size."""
+    leaders = followers.select(F.col("leader").alias("node")).distinct()
+    edges = near.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
+    nodes = leaders.unionByName(edges.select(F.explode(F.array("doc_a", "doc_b")).alias("node"))).distinct()
+    blocks = cut(nodes.join(groups(edges).withColumnRenamed("doc_id", "node"), "node", "left").select("node", F.coalesce("leader", "node").alias("block")))
+    within = blocks.select(F.col("node").alias("entity"), "block").unionByName(followers.select("entity", F.col("leader").alias("node")).join(blocks, "node").select("entity", "block"))
+    within = cut(within.join(lead, "entity"))
+    sizes = within.groupBy("block").agg(F.greatest(F.ceil(F.sum("bytes") / CHUNK_BYTES), F.ceil(F.count(F.lit(1)) / CHUNK)).cast("int").alias("chunks"))
+    return cut(within.join(sent_if_small(cut(sizes), SENT), "block").select("entity", F.col("lead").alias("doc_id"), "copies", "block", F.pmod(F.xxhash64("entity", F.lit(9)), "chunks").cast("int").alias("chunk"), "chunks", "bytes"))
+
+
+def _counted(docs: DataFrame, placed: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(entity, root, links): what each tile of blocks finds, of entities with links."""
+    moved = placed.agg(F.coalesce(F.sum(F.col("bytes") * F.col("chunks")), F.lit(0))).first()[0]
+    cells = max(1, -(-moved // CHUNK_BYTES))
+    texts = docs.select("doc_id", "entity", "text").join(sent_if_small(placed.drop("bytes"), SENT), ["entity", "doc_id"])
+    names = ["cell", "block", "i", "j", "chunk", "entity", "copies", "blob"]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            made = pa.array([packed_set(features(raw, n)) for raw in raw_texts(b.column("text"))], pa.binary())
+            chunk, chunks = b.column("chunk").to_numpy().astype(np.int64), b.column("chunks").to_numpy()
+            row = np.repeat(np.arange(len(b)), chunks)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+            i, j = np.minimum(chunk[row], other), np.maximum(chunk[row], other)
+            block = int64s(b.column("block"))[row]
+            cell = mix(mix(block.view(np.uint64) + i.astype(np.uint64) * _SALTS[1]) + j.astype(np.uint64) * _SALTS[2]) % np.uint64(cells)
+            for k in range(0, len(row), 1024):
+                z = slice(k, k + 1024)
+                at = pa.array(row[z])
+                yield pa.RecordBatch.from_arrays([pa.array(cell[z].astype(np.int32)), pa.array(block[z]), pa.array(i[z].astype(np.int32)), pa.array(j[z].astype(np.int32)), b.column("chunk").take(at), b.column("entity").take(at), b.column("copies").take(at), made.take(at)], names)
+
+    def count(table: pa.Table) -> pa.Table:
+        block, i, j, chunk, entity, copies = (table.column(c).to_numpy() for c in names[1:7])
+        blobs, order, out = table.column("blob"), np.lexsort((entity, j, i, block)), []
+        new = [x[order][1:] != x[order][:-1] for x in (block, i, j)]
+        cuts = np.flatnonzero(np.concatenate([[True], new[0] | new[1] | new[2], [True]]))
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            at = order[a:z]
+            at = at[np.concatenate([[True], entity[at][1:] != entity[at][:-1]])]  # a document may have several rows
+            left = np.flatnonzero(chunk[at] == i[at[0]])
+            right = left if i[at[0]] == j[at[0]] else np.flatnonzero(chunk[at] == j[at[0]])
+            if len(at) > 1 and len(left) and len(right):
+                links, root = links_within([unpacked_set(blobs[k].as_py()) for k in at.tolist()], left, right, copies[at].astype(np.float64), threshold)
+                some = np.flatnonzero(links)
+                out.append((entity[at[some]], entity[at[root[some]]], links[some]))
+        found = [np.concatenate([np.empty(0, dtype=np.int64), *c]) for c in zip(*out, strict=True)] if out else [np.empty(0, dtype=np.int64)] * 3
+        return pa.table(found, ["entity", "root", "links"])
+
+    sent = texts.mapInArrow(send, "cell int, block long, i int, j int, chunk int, entity long, copies long, blob binary")
+    return sent.groupBy("cell").applyInArrow(count, "entity long, root long, links long")
+
+
+def linked(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, links): of every doc_id its class and the other documents that reach the threshold with it.
+
+    A class is a connected component of the similar documents, under its smallest id. Copies with equal texts are counted
+    among the links. The rows are as many as the ids, however large the crowds.
     """
     if not 0.5 < threshold <= 1:
         raise ValueError("the threshold must be above 1/2, at most 1")
     arrow_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & has_words(F.col("text"))).withColumn("entity", F.xxhash64("text"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    members = docs.select("doc_id", "entity").distinct()
-    lead = cut(members.groupBy("entity").agg(F.min("doc_id").alias("lead")))
-    near = cut(candidates(docs, size, n, threshold))
-    # 40 bits rarely, but possibly, name several entities
-    code = F.shiftrightunsigned("entity", 24)
-    ends = [sent_if_small(lead.select(code.alias(c), F.col("entity").alias(f"{c}_entity")), SENT) for c in "ab"]
-    whole = near.join(ends[0], "a").join(ends[1], "b").select(F.least("a_entity", "b_entity").alias("a"), F.greatest("a_entity", "b_entity").alias("b"))
-    near = cut(_compared(docs, cut(whole), lead, n, True, threshold))
-    pairs = cut(_compared(docs, near, lead, n, False, threshold))
-    across = (
-        pairs.join(sent_if_small(lead.select(F.col("entity").alias("a"), F.col("lead").alias("p")), SENT), "a")
-        .join(sent_if_small(lead.select(F.col("entity").alias("b"), F.col("lead").alias("q")), SENT), "b")
-        .filter("p <> q")
-        .select(F.least("p", "q").alias("doc_a"), F.greatest("p", "q").alias("doc_b"), "jaccard")
-    )
-    copies = members.join(lead, "entity").filter("doc_id <> lead").select(F.col("lead").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return across.unionByName(copies).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL").withColumn("entity", F.when(has_words(F.col("text")), F.xxhash64("text")))
+    docs = every.filter("entity IS NOT NULL")
+    members = every.select("doc_id", "entity").distinct()
+    lead = cut(docs.groupBy("entity").agg(F.min("doc_id").alias("lead"), F.countDistinct("doc_id").alias("copies"), F.max(F.octet_length("text")).cast("long").alias("bytes")))
+    size = lead.agg(F.coalesce(F.sum(F.col("bytes") * F.col("copies")), F.lit(0))).first()[0]
+    followers = stars(docs, lead, n, threshold)
+    named = docs.join(sent_if_small(followers.select("entity", "leader"), SENT), "entity", "left").select(F.coalesce("leader", "entity").alias("name"), "text")
+    pairs = cut(candidates(named, size, n, threshold))
+    wide = cut(followers.groupBy("leader").agg((1 - F.min("jaccard")).alias("wide")))
+    for c in "ab":
+        pairs = pairs.join(sent_if_small(wide.withColumnsRenamed({"leader": c, "wide": f"{c}_wide"}), SENT), c, "left")
+    apart = F.coalesce("a_wide", F.lit(0.0)) + F.coalesce("b_wide", F.lit(0.0))
+    wanted = F.when(F.coalesce("a_wide", "b_wide").isNull(), float(threshold)).otherwise(F.lit(threshold - 1e-9) - apart)
+    near = cut(_compared(docs, cut(pairs.select("a", "b", wanted.alias("least"))), lead, n, True))
+    near = cut(_compared(docs, near, lead, n, False))
+    counted = cut(_counted(docs, _blocks(near, followers, lead), n, threshold))
+    ends = [sent_if_small(lead.select(F.col("entity").alias(c), F.col("lead").alias(f"doc_{c}")), SENT) for c in "ab"]
+    links = counted.filter("entity <> root").select(F.col("entity").alias("a"), F.col("root").alias("b")).join(ends[0], "a").join(ends[1], "b")
+    several = members.filter("entity IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id")
+    same = members.join(several, "doc_id").join(lead, "entity").select(F.col("doc_id").alias("doc_a"), F.col("lead").alias("doc_b"))
+    classes = groups(links.select("doc_a", "doc_b").unionByName(same).filter("doc_a <> doc_b").distinct())
+    totals = counted.groupBy("entity").agg(F.sum("links").alias("links"))
+    rows = members.join(lead, "entity", "left").join(totals, "entity", "left").join(classes.select(F.col("doc_id").alias("lead"), "leader"), "lead", "left")
+    return rows.groupBy("doc_id").agg(F.min(F.coalesce("leader", "lead", "doc_id")).alias("class_id"), F.sum(F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("links"))
 
 
 def groups(pairs: DataFrame) -> DataFrame:
     """(doc_id, leader) of each document in a pair: connected components, the leader being the smallest id.
 
     Every round, each document takes the smallest label among its neighbours and then that label's own
-    label; rounds grow with the logarithm of the longest chain for the usual star-like groups.
+    label; rounds grow with the logarithm of the longest chain for the usual star-like groups. Fewer than SENT
+    pairs, a few MB, are labelled by the driver.
     """
+    pairs = cut(pairs.select("doc_a", "doc_b"))
+    if pairs.count() < SENT:
+        got = pairs.toArrow()
+        ids, at = np.unique(np.concatenate([got.column(c).to_numpy() for c in ("doc_a", "doc_b")]), return_inverse=True)
+        label, (u, v) = np.arange(len(ids)), at.reshape(2, -1)
+        while len(u):
+            least = np.minimum(label[u], label[v])
+            before = label.copy()
+            np.minimum.at(label, before[u], least)
+            np.minimum.at(label, before[v], least)
+            while (label[label] != label).any():
+                label = label[label]
+            if (label[u] == label[v]).all():
+                break
+        return pairs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(ids, pa.int64()), "leader": pa.array(ids[label], pa.int64())}))
     edges = cut(pairs.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")).unionByName(pairs.select(F.col("doc_b").alias("u"), F.col("doc_a").alias("v"))))
     labels = cut(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l")))
     while True:
@@ -415,8 +581,8 @@ def groups(pairs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs without those that aren't the leader of their near-duplicate group.
 
-    A group is a connected component of similar_pairs; its smallest doc_id stays. Rows with null doc_id
+    A group is a class of linked(); its smallest doc_id stays. Rows with null doc_id
     stay. Of rows that repeat a doc_id, all stay or go together.
     """
-    gone = groups(similar_pairs(docs, n, threshold)).filter("doc_id <> leader").select(F.col("doc_id").alias("__gone"))
+    gone = linked(docs, n, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

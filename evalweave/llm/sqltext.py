@@ -36,14 +36,17 @@ SELECT vec_id, neighbour_id, place, score FROM ranked WHERE place <= 10
 """
 
 JACCARD = """
-WITH texts AS (SELECT text, min(doc_id) AS lead, row_number() OVER (ORDER BY text) AS e FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY text),
+WITH RECURSIVE texts AS (SELECT text, row_number() OVER (ORDER BY text) AS e FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY text),
 words AS (SELECT e, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '') AS w FROM texts),
 grams AS (SELECT DISTINCT e, unnest(CASE len(w) WHEN 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS gram FROM words WHERE len(w) > 0),
 sizes AS (SELECT e, count(*) AS n FROM grams GROUP BY e),
 pairs AS (SELECT a.e AS x, b.e AS y, count(*) AS c FROM grams a JOIN grams b ON a.gram = b.gram AND a.e < b.e GROUP BY ALL),
-near AS (SELECT x, y, CAST(c AS DOUBLE) / CAST(p.n + q.n - c AS DOUBLE) AS jaccard FROM pairs JOIN sizes p ON p.e = x JOIN sizes q ON q.e = y WHERE c >= 0.7::DOUBLE * (p.n + q.n - c) - 1e-9::DOUBLE),
-rows AS (
-  SELECT least(p.lead, q.lead) AS doc_a, greatest(p.lead, q.lead) AS doc_b, jaccard FROM near JOIN texts p ON p.e = x JOIN texts q ON q.e = y WHERE p.lead <> q.lead
-  UNION ALL SELECT t.lead, d.doc_id, 1.0::DOUBLE FROM documents d JOIN texts t ON d.text = t.text JOIN sizes USING (e) WHERE d.doc_id <> t.lead)
-SELECT doc_a, doc_b, max(jaccard) AS jaccard FROM rows GROUP BY doc_a, doc_b
+near AS (SELECT x, y FROM pairs JOIN sizes p ON p.e = x JOIN sizes q ON q.e = y WHERE c >= 0.7::DOUBLE * (p.n + q.n - c) - 1e-9::DOUBLE),
+alike AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near UNION ALL SELECT e, e FROM sizes),
+members AS (SELECT DISTINCT doc_id, e FROM documents JOIN texts USING (text) JOIN sizes USING (e) WHERE doc_id IS NOT NULL),
+found AS (SELECT a.doc_id, b.doc_id AS other, a.e = b.e AND a.doc_id = b.doc_id AS itself FROM members a JOIN alike ON a.e = x JOIN members b ON b.e = y),
+edges AS (SELECT DISTINCT doc_id, other FROM found WHERE doc_id <> other),
+reached AS (SELECT DISTINCT doc_id AS root, doc_id FROM documents WHERE doc_id IS NOT NULL UNION SELECT root, other FROM reached JOIN edges USING (doc_id) WHERE other > root),
+totals AS (SELECT doc_id, count(*) FILTER (WHERE NOT itself) AS links FROM found GROUP BY doc_id)
+SELECT r.doc_id, min(r.root) AS class_id, CAST(coalesce(any_value(t.links), 0) AS BIGINT) AS links FROM reached r LEFT JOIN totals t ON t.doc_id = r.doc_id GROUP BY r.doc_id
 """

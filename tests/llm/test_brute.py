@@ -360,9 +360,8 @@ def test_many_near_equal_texts(spark):
         texts.append((i, " ".join(words)))
     texts += [(1000 + i, " ".join(f"q{rng.randint(0, 10**6)}" for _ in range(40))) for i in range(50)]
     df = frame(spark, texts).withColumns({"entity": F.lit(1), "place": F.lit("x"), "lead": F.lit(2), "doc_a": F.lit(3)})
-    pairs = common.cut(partenum.similar_pairs(df))
-    assert pairs.count() == 700 * 699 // 2
-    assert {r["doc_id"]: r["leader"] for r in partenum.groups(pairs).collect()} == dict.fromkeys(range(700), 0)
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in partenum.linked(df).collect()}
+    assert got == dict.fromkeys(range(700), (0, 699)) | {1000 + i: (1000 + i, 0) for i in range(50)}
 
 
 def test_signatures_of_all_sizes_and_thresholds():
@@ -383,7 +382,7 @@ def test_signatures_of_all_sizes_and_thresholds():
                     token, who = partenum.signatures([a, b], t, level)
                     assert set(token[who == 0].tolist()) & set(token[who == 1].tolist()), (t, size, len(b))
     with pytest.raises(ValueError):
-        partenum.similar_pairs(None, threshold=0.5)
+        partenum.linked(None, threshold=0.5)
 
 
 # LM scoring

@@ -211,6 +211,42 @@ def brute_pairs(rows):
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b]) - 1e-9}
 
 
+def brute_links(rows):
+    """(doc_id, class, links) of (doc_id, text), from all pairs."""
+    rows = sorted(set(rows))
+    links, root = {i: 0 for i, _ in rows}, {i: i for i, _ in rows}
+    for a, b in brute_pairs(dict(enumerate(t for _, t in rows))):
+        (i, _), (j, _) = rows[a], rows[b]
+        links[i] += 1
+        links[j] += 1
+        low, high = sorted((root[i], root[j]))
+        root = {k: low if r == high else r for k, r in root.items()}
+    return sorted((i, root[i], n) for i, n in links.items())
+
+
+def test_links_between_texts_with_one_smallest_id(spark):
+    # texts a and b are similar and both have document 1, which is the least of each
+    a = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, a), (1, a + " z"), (2, a), (3, a + " z"), (9, "other words")]
+    got = sorted(map(tuple, partenum.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute_links(rows) and (2, 1, 3) in got and (9, 9, 0) in got
+
+
+def test_links_across_chunks_of_a_crowd(spark, monkeypatch):
+    rng = random.Random(15)
+    base, rows = [f"w{k}" for k in range(60)], []
+    for i in range(300):
+        far = rng.choice([1, 3, 6, 12])
+        words = [f"n{rng.randint(0, 10**6)}" if rng.random() < far / 60 else w for w in base]
+        rows.append((i, " ".join(words)))
+        rows += [(1000 + i, rows[-1][1])] * (i % 7 == 0)
+    for limit in (4096, 40):
+        monkeypatch.setattr(partenum, "CHUNK", limit)
+        monkeypatch.setattr(partenum, "COLUMNS", limit)
+        monkeypatch.setattr(partenum, "SENT", 500_000 if limit > 40 else 0)
+        assert sorted(map(tuple, partenum.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute_links(rows)
+
+
 def test_jaccard_join(spark, odd, none):
     rng = random.Random(5)
     rows = {}
@@ -220,15 +256,9 @@ def test_jaccard_join(spark, odd, none):
             changed = [w if rng.random() > 0.04 * k else f"n{rng.randint(0, 99)}" for w in words]
             rows[i + k] = " ".join(changed) + " " * k
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    got = {(r["doc_a"], r["doc_b"]) for r in partenum.similar_pairs(df).collect()}
-    lead = {}
-    for i in sorted(rows):
-        lead.setdefault(rows[i], i)
-    first = {i: lead[t] for i, t in rows.items()}
-    across = {tuple(sorted((first[a], first[b]))) for a, b in brute_pairs(rows) if first[a] != first[b]}
-    assert got == across | {(f, i) for i, f in first.items() if f != i}
-    assert {(r["doc_a"], r["doc_b"]) for r in partenum.similar_pairs(odd).collect()} == set()
-    assert partenum.similar_pairs(none).count() == 0 and partenum.one_of_each(none).count() == 0
+    assert sorted(map(tuple, partenum.linked(df).collect())) == brute_links(list(rows.items()))
+    assert sorted(map(tuple, partenum.linked(odd).collect())) == [(i, i, 0) for i in (1, 2, 3, 4)]
+    assert partenum.linked(none).count() == 0 and partenum.one_of_each(none).count() == 0
     assert partenum.one_of_each(odd).count() == odd.count()
 
 
