@@ -1,7 +1,7 @@
-"""Exact top-k search by distributed histogram selection; every vector is a query against all others.
+"""Exact top-k search by distributed histogram selection; the vectors whose id is divisible by `every` are queries against all others.
 
 Vectors are made unit length and rounded to 24 binary places, so that a score, their inner product, is
-an exact integer multiple of 2**-48 in any order of summing. Vectors are stored in blocks, a partition each; a
+an exact integer multiple of 2**-48 in any order of summing. Vectors are stored in blocks, a partition each, queries again in blocks of their own; a
 task takes a block of queries and one of candidates from where they are stored. The kth score within a query's own block is
 a lower bound. Above it, a histogram of 64 bins is summed over all blocks, and the bin of the kth score
 becomes the next interval, until the candidates above the interval's lower end are about k. Then each
@@ -33,14 +33,12 @@ _ONE = 1 << (2 * PLACES)
 _LOW = -2 * _ONE
 
 
-def blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(block, ids, data, dim): packed rounded vectors, about `block` in each."""
+def blocks(vectors: DataFrame, block: int = BLOCK, every: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(block, ids, data): packed rounded vectors, about `block` in each; the same of those whose id is divisible by `every`."""
     one = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").groupBy(F.col("vec_id").cast("long").alias("id")).agg(F.min(F.col("embedding").cast("array<double>")).alias("v"))
     good = one.filter("size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf')) AND exists(v, x -> x <> 0)")
     good = cut(good)
     dims = good.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    parts = max(1, -(-(dims["count"] if dims else 0) // block))
-
     def pack(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         order = np.argsort(ids)
@@ -49,8 +47,13 @@ def blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
         v = np.floor(v / np.sqrt((v * v).sum(axis=1))[:, None] * float(1 << PLACES) + 0.5)
         return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "data": pa.array([v.astype(np.int32).tobytes()], pa.binary())})
 
-    same = good.filter(F.size("v") == F.lit(dims["dim"] if dims else 0)).withColumn("block", share(F.col("id"), parts, 10).cast("int"))
-    return same.groupBy("block").applyInArrow(pack, "block int, ids binary, data binary").repartitionByRange(parts, "block")
+    def packed(some: DataFrame, count: int) -> DataFrame:
+        parts = max(1, -(-count // block))
+        return some.withColumn("block", share(F.col("id"), parts, 10).cast("int")).groupBy("block").applyInArrow(pack, "block int, ids binary, data binary").repartitionByRange(parts, "block")
+
+    same = good.filter(F.size("v") == F.lit(dims["dim"] if dims else 0))
+    asked = same.filter(F.col("id") % every == 0)
+    return packed(same, dims["count"] if dims else 0), packed(asked, asked.count())
 
 
 def _pairs(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray):
@@ -78,10 +81,10 @@ def _longs(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, dtype=np.int64)
 
 
-def top_k(vectors: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
-    """(vec_id, neighbour_id, place, score): of each vector the k others with the greatest cosine."""
+def top_k(vectors: DataFrame, k: int = K, block: int = BLOCK, every: int = 1) -> DataFrame:
+    """(vec_id, neighbour_id, place, score): of each vector whose id is divisible by `every` the k others with the greatest cosine."""
     arrow_batches(vectors.sparkSession)
-    stored = cut(blocks(vectors, block))
+    stored, asked = map(cut, blocks(vectors, block, every))
     two = stored.select(F.col("ids").alias("cids"), F.col("data").alias("cdata"))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +98,8 @@ def top_k(vectors: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
                 yield _row(blk, ids, data, low, np.full(len(i), k), np.int64(1) << np.maximum(width, 0), -1)
 
     # low: the lower end of each query's interval, which has BINS bins of `step`; need: the rank of the kth score within it
-    state = cut(stored.mapInArrow(start, STATE))
-    n = stored.agg(F.coalesce(F.sum(F.length("ids") / 8), F.lit(0))).first()[0]
+    state = cut(asked.mapInArrow(start, STATE))
+    n = asked.agg(F.coalesce(F.sum(F.length("ids") / 8), F.lit(0))).first()[0]
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
