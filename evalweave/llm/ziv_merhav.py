@@ -10,11 +10,14 @@ included, so that equal texts of a language score alike.
 
 The reference is indexed by content. Its words (64-bit hashes salted by the language) lie in one file of the
 shared folder; the places of its suffixes are shuffled to buckets by the hash of their first two words, whose
-number grows with the reference, and each bucket is written sorted by the first CAP words. Scoring tasks map
-these files and narrow the range of a suffix word by word; phrases of CAP words or more are compared in full.
+number grows with the reference, and each bucket is sorted by the first CAP words; of more than FEW suffixes
+that share these, by all words. As buckets divide the hashes in order, they are then moved into one file for
+all, so that a search takes as many steps as the logarithm of the reference, however many buckets there were.
+Scoring tasks map these files and find where a suffix would lie; its longest phrase is one it shares with a
+neighbour there. Phrases of CAP words or more are compared in full, and only where the factoring comes to them.
 Sorted suffixes answer what the states of a suffix automaton would, and unlike it can be split over machines;
 automaton() is kept as the measure that tests hold them against. The driver holds a row a partition and
-language. The shared folder must be mounted as a file system on every machine (an error otherwise).
+language, and a row a bucket. The shared folder must be mounted as a file system on every machine (an error otherwise).
 
 Edge cases: null or blank text has no row. A null language is one of its own. A language without reference
 text scores as against an empty one. Labels with null doc_id or null values don't count; of several labels
@@ -41,10 +44,12 @@ from evalweave.llm.exchange import bucket_of
 
 #: Suffixes of the reference in a bucket, about.
 BUCKET = 1_000_000
-#: Words by which suffixes are sorted; words compared at once beyond them; suffixes compared at once.
-CAP, STEP, MANY = 16, 32, 1 << 15
+#: Words by which all suffixes are sorted; words compared at once beyond them; suffixes compared at once; suffixes that share CAP words and are left at that.
+CAP, STEP, MANY, FEW = 16, 32, 1 << 15, 16
 #: What tasks hand to a bucket: places of suffixes, words with the least and most text that holds them, texts that one document alone has.
 BLOBS = ("places", "words", "least", "most", "texts")
+#: Files of the index with what a bucket adds to each: the same number of values for those of a line.
+FILES = (("places", "runs"), ("pairs", "first"), ("words", "least", "most"), ("texts", "spans"))
 
 
 def automaton(documents: list[list[str]]) -> list[dict[str, int]]:
@@ -140,7 +145,7 @@ def pairs(text: np.ndarray) -> np.ndarray:
 
 
 def sorted_suffixes(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, distinct pair hashes, where each begins): places sorted by pair hash, then by the words up to CAP, then by place."""
+    """(places, distinct pair hashes, where each begins): places sorted by pair hash, then by the words up to CAP, then by all words if more than FEW are left, then by place."""
     at = np.sort(at)
     h = mixed_pairs(text, at)
     order = np.argsort(h, kind="stable")
@@ -159,9 +164,53 @@ def sorted_suffixes(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
         order = np.lexsort((t, number))
         at[tied], t = at[tied][order], t[order]
         group[tied[1:]] |= t[1:] != t[:-1]
+    begin = np.flatnonzero(group)
+    size = np.diff(np.append(begin, len(at)))
+    crowd = np.flatnonzero(np.repeat(size > FEW, size))
+    at[crowd] = sorted_in_full(text, at[crowd], np.cumsum(group)[crowd])
     return at, keys, np.append(first, len(at))
 
 
+def sorted_in_full(text: np.ndarray, at: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Places in groups of one number, which share CAP words: each group sorted by all words to the end of the text. A group is parted by a suffix in its middle and what the others share with that, again and again."""
+    at = at.copy()
+    rest, depth = np.arange(len(at)), np.full(len(at), CAP, dtype=np.int64)
+    while len(rest):
+        begin = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        size = np.diff(np.append(begin, len(rest)))
+        here = at[rest]
+        depth, side = common(text, here, np.repeat(here[begin + size // 2], size), depth)
+        near = np.where(side < 0, depth, -depth)  # what shares more lies nearer to the middle
+        order = np.lexsort((near, side, number))
+        at[rest], number, side, near, depth = here[order], number[order], side[order], near[order], depth[order]
+        new = np.r_[True, (number[1:] != number[:-1]) | (side[1:] != side[:-1]) | (near[1:] != near[:-1])]
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        tied &= side != 0  # else equal to the end
+        rest, number, depth = rest[tied], np.cumsum(new)[tied], depth[tied]
+    return at
+
+
+def common(text: np.ndarray, at: np.ndarray, other: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words that the suffixes at two places share, of which they are known to share depth; -1, 0, 1 as the first is below, equal to or above the other)."""
+    depth, side = depth.copy(), np.zeros(len(at), dtype=np.int8)
+    for i in range(0, len(at), MANY):
+        live, wide = np.arange(i, min(len(at), i + MANY)), STEP
+        while len(live):
+            along = np.arange(wide)
+            x, y = (text[np.minimum((p[live] + depth[live])[:, None] + along, len(text) - 1)] for p in (at, other))
+            stop = (x != y) | (x == 0)
+            k = stop.argmax(axis=1)
+            ended = stop[np.arange(len(live)), k]
+            depth[live] += np.where(ended, k, wide)
+            j = np.flatnonzero(ended)
+            u, v = x[j, k[j]], y[j, k[j]]
+            side[live[j]] = (u > v).astype(np.int8) - (u < v)
+            live = live[~ended]
+            wide = min(2 * wide, max(STEP, MANY * STEP // max(1, len(live))))
+    return depth, side
+
+
 def mixed_pairs(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """As pairs(), of the words at given places."""
     out = np.empty(len(at), dtype=np.uint64)
@@ -175,98 +224,153 @@ def mixed_pairs(text: np.ndarray, at: np.ndarray) -> np.ndarray:
 class Index:
     """The mapped files of a reference."""
 
-    def __init__(self, folder: str, buckets: int) -> None:
-        self.folder, self.buckets, self.open = folder, buckets, {}
-        self.text, self.begins = np.memmap(f"{folder}/text", dtype=np.uint64, mode="r"), begins_of(folder)
+    def __init__(self, folder: str) -> None:
+        def mapped(name: str, kind: type = np.uint64) -> np.ndarray:
+            path = f"{folder}/{name}"
+            return np.asarray(np.memmap(path, dtype=kind, mode="r")) if os.path.getsize(path) else np.empty(0, dtype=kind)
 
-    def array(self, name: str) -> np.ndarray:
-        if name not in self.open:
-            path = f"{self.folder}/{name}.npy"
-            self.open[name] = np.load(path, mmap_mode="r") if os.path.getsize(path) > 128 else np.load(path)
-        return self.open[name]
+        self.text, self.pairs, self.words, self.texts = (mapped(x) for x in ("text", "pairs", "words", "texts"))
+        self.least, self.most, self.spans = (mapped(x, np.int64) for x in ("least", "most", "spans"))
+        self.places, self.first, self.runs = (mapped(x, small(len(self.text))) for x in ("places", "first", "runs"))
+        self.spans = self.spans.reshape(-1, 2)
 
     def own(self, keys: np.ndarray) -> np.ndarray:
         """Where the text that each document must not meet begins and ends; (-1, -1) for none."""
         out = np.full((len(keys), 2), -1, dtype=np.int64)
-        home = bucket_of(keys, self.buckets)
-        for b in np.unique(home).tolist():
-            i, texts = np.flatnonzero(home == b), self.array(f"texts-{b}")
-            if len(texts):
-                k = np.minimum(np.searchsorted(texts[:, 0], keys[i]), len(texts) - 1)
-                hit = texts[k, 0] == keys[i]
-                out[i[hit]] = texts[k[hit], 1:].view(np.int64)
+        k, hit = _found(self.texts, keys)
+        out[hit] = self.spans[k[hit]]
         return out
 
-    def lengths(self, text: np.ndarray, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[int, int, int]]]:
-        """Words, up to CAP, of the longest phrase at each place `at` of text, and for places of CAP words (bucket, from, to). own: where the text begins that a place must not meet, or -1."""
-        out = np.zeros(len(text), dtype=np.int32)
-        found: dict[int, tuple[int, int, int]] = {}
+    def lengths(self, text: np.ndarray, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words, up to CAP, of the longest phrase at each place `at` of text; suffixes that share two words, from, to). own: where the text that a place must not meet begins and ends, or -1."""
+        out, low, high = np.zeros(len(text), dtype=np.int32), np.zeros(len(text), dtype=np.int64), np.zeros(len(text), dtype=np.int64)
         w = text[at]
         order = np.argsort(w)
-        cuts = np.searchsorted(bucket_of(w[order], self.buckets), np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            i = order[cuts[b] : cuts[b + 1]]
-            words = self.array(f"words-{b}")
-            if len(i) and len(words):
-                k = np.minimum(np.searchsorted(words, w[i]), len(words) - 1)
-                known = (words[k] == w[i]) & ((own[i] < 0) | (self.array(f"least-{b}")[k] != own[i]) | (self.array(f"most-{b}")[k] != own[i]))
-                out[at[i[known]]] = 1
+        k, known = _found(self.words, w[order])
+        i, k = order[known], k[known]
+        mine = np.flatnonzero(own[i, 0] >= 0)
+        alone = mine[(self.least[k[mine]] == own[i[mine], 0]) & (self.most[k[mine]] == own[i[mine], 0])]
+        out[at[np.delete(i, alone)]] = 1
         inner = np.flatnonzero((out[at] == 1) & (text[at + 1] > 1))
         h = pairs(text)[at[inner]]
         order = np.argsort(h)
-        inner, h = inner[order], h[order]
-        cuts = np.searchsorted(bucket_of(h, self.buckets), np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            i, keys = inner[cuts[b] : cuts[b + 1]], self.array(f"pairs-{b}")
-            if not len(i) or not len(keys):
-                continue
-            k = np.minimum(np.searchsorted(keys, h[cuts[b] : cuts[b + 1]]), len(keys) - 1)
-            hit = keys[k] == h[cuts[b] : cuts[b + 1]]
-            i, k = i[hit], k[hit]
-            places, runs, first = (self.array(f"{x}-{b}") for x in ("places", "runs", "first"))
-            lo, hi = first[k].astype(np.int64), first[k + 1].astype(np.int64)
-            for d in range(2, CAP + 1):
-                # the range shares d words; it counts if it isn't all of the place's own text
-                met = lo < hi
-                mine = np.flatnonzero(met & (own[i] >= 0))
-                begins = self.begins[np.searchsorted(self.begins, places[lo[mine]], side="right") - 1]
-                met[mine] = (begins != own[i[mine]]) | (runs[lo[mine]] < hi[mine])
-                i, lo, hi = i[met], lo[met], hi[met]
-                out[at[i]] = d
-                if d == CAP or not len(i):
-                    break
-                t = text[at[i] + d]
-                lo, hi = self._edge(places, lo, hi, t, d, False), self._edge(places, lo, hi, t, d, True)
-            for j, x, y in zip(at[i].tolist(), lo.tolist(), hi.tolist(), strict=True):
-                found[j] = (b, x, y)
-        return out, found
-
-    def _edge(self, places: np.ndarray, lo: np.ndarray, hi: np.ndarray, t: np.ndarray, d: int, after: bool) -> np.ndarray:
-        """The first suffix of each range lo..hi whose word d isn't below t, or is above it."""
-        lo, hi = lo.copy(), hi.copy()
-        some = np.flatnonzero(lo < hi)
-        while len(some):
-            mid = (lo[some] + hi[some]) >> 1
-            word = self.text[places[mid] + d]
-            below = word <= t[some] if after else word < t[some]
-            lo[some[below]], hi[some[~below]] = mid[below] + 1, mid[~below]
-            some = some[lo[some] < hi[some]]
+        k, hit = _found(self.pairs, h[order])
+        i, k = inner[order[hit]], k[hit]
+        for j in range(0, len(i), MANY):
+            a, n = i[j : j + MANY], k[j : j + MANY]
+            lo, hi = self.first[n].astype(np.int64), self.first[n + 1].astype(np.int64)
+            out[at[a]], low[at[a]], high[at[a]] = self._nearest(text, at[a], lo, hi, own[a]), lo, hi
+        return out, low, high
+
+    def _nearest(self, text: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Words, up to CAP, that places of text share with any of the suffixes lo..hi, all of which share two, outside their own text; 1 for none."""
+        a, b = lo.copy(), hi.copy()
+        left, right = np.full(len(at), 2, dtype=np.int32), np.full(len(at), 2, dtype=np.int32)
+        live = np.arange(len(at))
+        while len(live):
+            mid = (a[live] + b[live]) >> 1
+            n = np.minimum(left[live], right[live])
+            place = self.places[mid].astype(np.int64)
+            t, u = self.text[place + n], text[at[live] + n]
+            more = np.flatnonzero(t == u)
+            n[more] = self._shared(text, at[live[more]], place[more])
+            t[more], u[more] = self.text[place[more] + n[more]], text[at[live[more]] + n[more]]
+            below = (n < CAP) & (t < u)
+            above = (n < CAP) & ~below
+            x, y = live[below], live[above]
+            a[x], left[x] = mid[below] + 1, n[below]
+            b[y], right[y] = mid[above], n[above]
+            equal = live[n == CAP]  # it lies on both sides
+            a[equal], b[equal] = mid[n == CAP] + 1, mid[n == CAP]
+            left[equal] = right[equal] = CAP
+            live = live[a[live] < b[live]]
+        # the neighbours are a - 1 and b; past the run of the own text, if they are of that
+        left[a <= lo], right[b >= hi] = 1, 1
+        mine = np.flatnonzero(own[:, 0] >= 0)
+        for side, near in ((left, a - 1), (right, b)):
+            i = mine[side[mine] > 1]
+            place = self.places[near[i]]
+            i = i[(place >= own[i, 0]) & (place < own[i, 1])]
+            past = self.past(near[i], side is right)
+            side[i] = 1
+            inside = (past >= lo[i]) & (past < hi[i])
+            i, past = i[inside], past[inside]
+            side[i] = self._shared(text, at[i], self.places[past].astype(np.int64))
+        return np.maximum(left, right)
+
+    def _shared(self, text: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Words, up to CAP, that places of text share with suffixes, which share two."""
+        along = np.arange(2, CAP + 1)
+        apart = self.text[place[:, None] + along] != text[at[:, None] + along]
+        apart[:, -1] = True
+        return (apart.argmax(axis=1) + 2).astype(np.int32)
+
+    def past(self, near: np.ndarray, after: bool) -> np.ndarray:
+        """The suffix after, or before, the run of suffixes of one text in which each lies."""
+        ends = self.runs[near]
+        return ends.astype(np.int64) if after else np.searchsorted(self.runs, ends) - 1
+
+    def longest(self, text: np.ndarray, at: int, lo: int, hi: int, own: tuple[int, int]) -> int:
+        """Words of the longest phrase at a place of text that shares CAP words with suffixes in lo..hi."""
+        want = text[at : at + CAP]
+        x, y = (self._edge(want, lo, hi, after) for after in (False, True))
+        if y - x <= FEW:
+            near = np.arange(x, y)
+        else:
+            a, b, left, right = x, y, CAP, CAP
+            while a < b:
+                mid = (a + b) >> 1
+                n, below = self._match(text, at, int(self.places[mid]), min(left, right))
+                if below:
+                    a, left = mid + 1, n
+                else:
+                    b, right = mid, n
+            near = []
+            for k, after in ((a - 1, False), (a, True)):
+                if x <= k < y and own[0] <= self.places[k] < own[1]:
+                    k = int(self.past(np.array([k]), after)[0])
+                if x <= k < y:
+                    near.append(k)
+        return max((self._match(text, at, p, CAP)[0] for p in self.places[near].tolist() if not own[0] <= p < own[1]), default=0)
+
+    def _edge(self, want: np.ndarray, lo: int, hi: int, after: bool) -> int:
+        """The first suffix of lo..hi whose first words aren't below those wanted, or are above them."""
+        while lo < hi:
+            mid = (lo + hi) >> 1
+            p = int(self.places[mid])
+            have = self.text[p + 2 : p + len(want)]
+            apart = have != want[2:]
+            k = int(apart.argmax())
+            if (have[k] < want[k + 2]) if apart[k] else after:
+                lo = mid + 1
+            else:
+                hi = mid
         return lo
 
-    def longest(self, text: np.ndarray, at: int, found: tuple[int, int, int], own: tuple[int, int]) -> int:
-        """Words of the longest phrase at a place of text that begins with CAP words of a range of suffixes."""
-        b, lo, hi = found
-        best = 0
-        for i in range(lo, hi, MANY):
-            places = np.asarray(self.array(f"places-{b}")[i : min(hi, i + MANY)])
-            places = places[(places < own[0]) | (places >= own[1])]
-            n = CAP
-            while len(places):
-                want = text[at + n : at + n + STEP]
-                same = np.logical_and.accumulate(self.text[(places + n)[:, None] + np.arange(len(want))] == want, axis=1).sum(axis=1)
-                best = max(best, n + int(same.max()))
-                places, n = places[same == STEP], n + STEP
-        return best
+    def _match(self, text: np.ndarray, at: int, place: int, n: int) -> tuple[int, bool]:
+        """(words that a place of text shares with a suffix, which share n; whether the suffix is below it)."""
+        step = STEP
+        while True:
+            have, want = self.text[place + n : place + n + step], text[at + n : at + n + step]
+            size = min(len(have), len(want))
+            apart = have[:size] != want[:size]
+            k = int(apart.argmax())
+            if apart[k]:
+                return n + k, bool(have[k] < want[k])
+            n, step = n + size, 2 * step
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each wanted key would lie among sorted ones; whether it is there)."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    k = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return k, keys[k] == wanted
+
+
+def small(total: int) -> type:
+    """The type of numbers up to a total."""
+    return np.uint32 if total < 2**32 else np.int64
 
 
 def _save(folder: str, name: str, values: np.ndarray) -> None:
@@ -283,8 +387,8 @@ def begins_of(folder: str) -> np.ndarray:
     return np.memmap(path, dtype=np.int64, mode="r") if os.path.getsize(path) else np.empty(0, dtype=np.int64)
 
 
-def indexed(reference: DataFrame, folder: str, bucket_words: int) -> tuple[int, dict[str, int]]:
-    """Write the index of (key, alone, lang, salt, text), which must be cut, to a folder: (buckets, words of each language)."""
+def indexed(reference: DataFrame, folder: str, bucket_words: int) -> dict[str, int]:
+    """Write the index of (key, alone, lang, salt, text), which must be cut, to a folder: the words of each language."""
     spark = reference.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +456,7 @@ def indexed(reference: DataFrame, folder: str, bucket_words: int) -> tuple[int,
         at, word, least, most = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("places", np.int64), ("words", np.uint64), ("least", np.int64), ("most", np.int64)))
         text, begins = np.memmap(f"{folder}/text", dtype=np.uint64, mode="r"), begins_of(folder)
         known = np.frombuffer(b"".join(table.column("texts").to_pylist()), dtype=np.uint64).reshape(-1, 3)
-        _save(folder, f"texts-{b}", known[np.argsort(known[:, 0])])
+        known = known[np.argsort(known[:, 0])]
         at, keys, first = sorted_suffixes(text, at)
         begin = np.searchsorted(begins, at, side="right")
         last = np.flatnonzero(np.r_[begin[1:] != begin[:-1], True]) if len(at) else np.empty(0, dtype=np.int64)
@@ -360,17 +464,48 @@ def indexed(reference: DataFrame, folder: str, bucket_words: int) -> tuple[int,
         order = np.argsort(word, kind="stable")
         word, least, most = word[order], least[order], most[order]
         new = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.empty(0, dtype=np.int64)
-        small = np.uint32 if total < 2**32 else np.int64
-        for name, values in (("places", at.astype(small)), ("pairs", keys), ("first", first.astype(np.int32)), ("runs", runs.astype(np.int32)), ("words", word[new]), ("least", np.minimum.reduceat(least, new) if len(new) else least), ("most", np.maximum.reduceat(most, new) if len(new) else most)):
+        number = small(total + CAP + STEP)
+        least, most = (f.reduceat(x, new) if len(new) else x for f, x in ((np.minimum, least), (np.maximum, most)))
+        parts = {"places": at.astype(number), "runs": runs.astype(number), "pairs": keys, "first": first[:-1].astype(number), "words": word[new], "least": least, "most": most, "texts": known[:, 0], "spans": known[:, 1:]}
+        for name, values in parts.items():
             _save(folder, f"{name}-{b}", values)
-        return pa.table([pa.array([b], pa.int32())], ["bucket"])
+        return pa.table([pa.array([b], pa.int32()), *(pa.array([len(parts[names[0]])], pa.int64()) for names in FILES)], ["bucket", *(names[0] for names in FILES)])
 
     # every bucket has files, if empty ones
     every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), *(F.lit(b"").alias(c) for c in BLOBS))
     rows = reference.mapInArrow(place, "bucket int, " + ", ".join(f"{c} binary" for c in BLOBS)).union(every)
     # texts are in their file before any bucket is sorted: a shuffle lies between
-    rows.groupBy("bucket").applyInArrow(write, "bucket int").count()
-    return buckets, words
+    out = "bucket int, " + ", ".join(f"{names[0]} long" for names in FILES)
+    sizes = np.array(sorted(map(tuple, rows.groupBy("bucket").applyInArrow(write, out).collect())), dtype=np.int64)[:, 1:]
+    ends = np.cumsum(sizes, axis=0)
+    for names, end in zip(FILES, ends[-1].tolist(), strict=True):
+        for name in names:
+            with open(f"{folder}/{name}", "wb") as f:
+                if name == "first":
+                    f.seek(end * small(total + CAP + STEP)().itemsize)
+                    f.write(ends[-1, :1].astype(small(total + CAP + STEP)).tobytes())
+    begins = ends - sizes
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A bucket's own files go to their places in those for all."""
+        for batch in batches:
+            for b in batch.column("id").to_pylist():
+                for names, begin in zip(FILES, begins[b].tolist(), strict=True):
+                    for name in names:
+                        path = f"{folder}/{name}-{b}.npy"
+                        if not os.path.exists(path):  # the task is run twice
+                            continue
+                        values = np.load(path)
+                        if name in ("first", "runs"):
+                            values += values.dtype.type(begins[b, 0])
+                        with open(f"{folder}/{name}", "r+b") as f:
+                            f.seek(begin * values.itemsize * (values.shape[1] if values.ndim > 1 else 1))
+                            f.write(values.tobytes())
+                        os.remove(path)
+            yield batch
+
+    spark.range(buckets).mapInArrow(move, "id long").count()
+    return words
 
 
 def scores(docs: DataFrame, labels: DataFrame, bucket_words: int = BUCKET) -> DataFrame:
@@ -392,14 +527,14 @@ def scores(docs: DataFrame, labels: DataFrame, bucket_words: int = BUCKET) -> Da
     folder = f"{home.removeprefix('file://').removeprefix('file:')}/ziv-merhav-{uuid.uuid4().hex}"
     os.makedirs(folder)
     try:
-        return cut(_scored(docs, folder, *indexed(reference, folder, bucket_words)))
+        return cut(_scored(docs, folder, indexed(reference, folder, bucket_words)))
     finally:
         shutil.rmtree(folder, ignore_errors=True)
 
 
-def _scored(docs: DataFrame, folder: str, buckets: int, words_of: dict[str, int]) -> DataFrame:
+def _scored(docs: DataFrame, folder: str, words_of: dict[str, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(folder, buckets)
+        index = Index(folder)
         for b in batches:
             texts = [t.lower().split() for t in b.column("text").to_pylist()]
             lines, begins, here = [], [], 0
@@ -410,7 +545,7 @@ def _scored(docs: DataFrame, folder: str, buckets: int, words_of: dict[str, int]
                 here += len(words) + 1
             text = np.concatenate([*lines, np.ones(CAP + STEP, dtype=np.uint64)])
             at = np.flatnonzero(text > 1)
-            lengths, found = index.lengths(text, at, np.repeat(owns[:, 0], [len(w) for w in texts]))
+            lengths, low, high = index.lengths(text, at, np.repeat(owns, [len(w) for w in texts], axis=0))
             rows = []
             for i, lang, words, own, begin in zip(b.column("doc_id").to_pylist(), b.column("lang").to_pylist(), texts, owns.tolist(), begins, strict=True):
                 n, k, cross = len(words), 0, 0
@@ -418,7 +553,7 @@ def _scored(docs: DataFrame, folder: str, buckets: int, words_of: dict[str, int]
                 while k < n:
                     step = steps[k]
                     if step == CAP:
-                        step = index.longest(text, begin + k, found[begin + k], own)
+                        step = index.longest(text, begin + k, int(low[begin + k]), int(high[begin + k]), own)
                     k += step or 1
                     cross += 1
                 bits = max(1.0, math.log2(words_of.get(lang, 0) - (own[1] - own[0]) + 1))

@@ -400,6 +400,82 @@ def test_scores_don_t_hang_on_the_size_of_buckets(spark):
     assert alone[2] == alone[1]  # a language without reference: every word is a phrase
 
 
+def test_suffixes_in_full_order():
+    rng = random.Random(17)
+    passage = [rng.randint(2, 9) for _ in range(90)]
+    texts = [[*passage[rng.randint(0, 9) :], *(rng.randint(2, 4) for _ in range(rng.randint(0, 5)))] for _ in range(60)]
+    texts += [[2, 3] * rng.randint(8, 40) for _ in range(20)] + [[5] * 300, passage]
+    text = np.array([w for t in texts for w in [*t, 0]] + [0] * (ziv_merhav.CAP + ziv_merhav.STEP), dtype=np.uint64)
+    at = np.flatnonzero((text[:-1] > 0) & (text[1:] > 0))
+    words = {p: tuple(text[p : p + np.flatnonzero(text[p:] == 0)[0]].tolist()) for p in at.tolist()}
+    places, keys, first = ziv_merhav.sorted_suffixes(text, at)
+    assert sorted(places.tolist()) == at.tolist() and len(first) == len(keys) + 1
+    crowds = 0
+    for x, y in itertools.pairwise(first.tolist()):
+        run = [words[p] for p in places[x:y].tolist()]
+        for head, some in itertools.groupby(run, lambda w: w[: ziv_merhav.CAP]):
+            some = list(some)
+            if len(head) == ziv_merhav.CAP and len(some) > ziv_merhav.FEW:
+                crowds += 1
+                assert some == sorted(some)
+        heads = [w[: ziv_merhav.CAP] for w in run]
+        assert heads == sorted(heads)
+    assert crowds > 50
+
+
+def crowded(texts: int, seed: int) -> list[str]:
+    """Texts that hold one passage of 40 words among words of their own."""
+    rng = random.Random(seed)
+    passage = [f"p{k}" for k in range(40)]
+    return [" ".join([rng.choice("abcd"), *passage[rng.randint(0, 3) :], *(rng.choice("efgh") for _ in range(8))]) for _ in range(texts)]
+
+
+def test_scores_of_passages_that_many_texts_hold(spark):
+    texts = [*crowded(40, 19), *crowded(1, 23), "z " * 50, "z " * 49 + "y", *("u v " * (9 + k) for k in range(20))]
+    df = frame(spark, list(enumerate(texts))).withColumn("lang", F.lit("en"))
+    marks = spark.createDataFrame([(i, 1, 0) for i in range(len(texts)) if i not in (3, 40)], "doc_id long, quality int, toxic int")
+    for size in (60, 10**6):
+        got = {r["doc_id"]: r["phrases"] for r in ziv_merhav.scores(df, marks, size).collect()}
+        for i, t in enumerate(texts):
+            reference = {u for j, u in enumerate(texts) if j not in (3, 40)} - ({t} if texts.count(t) == 1 else set())
+            steps = ziv_merhav.automaton([u.split() for u in reference])
+            assert got[i] == ziv_merhav.cross_phrases(t.split(), steps), i
+
+
+class Counted:
+    """An array that counts what is read of it."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values, self.reads, self.words = values, 0, 0
+
+    def __getitem__(self, at):
+        out = self.values[at]
+        self.reads, self.words = self.reads + 1, self.words + np.size(out)
+        return out
+
+
+def test_reads_of_the_index_grow_with_the_logarithm_of_the_reference(spark, tmp_path):
+    def reads(texts: int, bucket_words: int) -> tuple[int, int]:
+        folder = tmp_path / f"{texts}-{bucket_words}"
+        folder.mkdir()
+        rows = [(i, True, "en", 1, t) for i, t in enumerate(sorted(set(crowded(texts, 29))))]
+        df = spark.createDataFrame(rows, "key long, alone boolean, lang string, salt long, text string").repartition(2)
+        ziv_merhav.indexed(common.cut(df), str(folder), bucket_words)
+        index = ziv_merhav.Index(str(folder))
+        index.text = read = Counted(index.text)
+        words = ziv_merhav.hashes(crowded(1, 31)[0].split(), 1)
+        text = np.concatenate([words, np.ones(1 + ziv_merhav.CAP + ziv_merhav.STEP, dtype=np.uint64)])
+        at = np.arange(len(words))
+        lengths, low, high = index.lengths(text, at, np.full((len(at), 2), -1))
+        assert lengths[1] == ziv_merhav.CAP
+        assert index.longest(text, 1, int(low[1]), int(high[1]), (-1, -1)) >= 37
+        return read.reads, read.words
+
+    few, many, parted = reads(50, 10**6), reads(3200, 10**6), reads(3200, 500)
+    assert parted == many  # however many buckets there were
+    assert many[0] < 4 * few[0] and many[1] < 4 * few[1]  # 64 times the texts
+
+
 # pipeline
 
 
