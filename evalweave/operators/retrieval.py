@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalweave.functions import text as rules
-from evalweave.functions.scores import clamp, cosine, distance_to_similarity, dot, norm, r2, r4
+from evalweave.functions.scores import clamp, cosine, distance_to_similarity, dot, r2, r4
+from evalweave.operators import search
 
 SIZE, OVERLAP = 500, 50
 #: A blank line, a line, a word, a letter.
@@ -131,14 +132,11 @@ def nearest_chunks(queries: DataFrame, chunks: DataFrame, k: int = 3) -> DataFra
 
     The order is that of the exact cosine; the score is that cosine, not below zero, rounded after ranking.
 
-    queries (query_id, q) are few, and sent to the chunks (chunk_id, v) if Spark finds them small; norms
-    are computed once a row. The window's limit drops all but k a query before its shuffle.
+    queries (query_id, q) meet the chunks (chunk_id, v) in blocks, and few pairs become rows. The window's limit
+    drops all but k a query before its shuffle.
     """
-    q = queries.withColumn("nq", norm(F.col("q")))
-    c = chunks.withColumn("nc", norm(F.col("v")))
-    pairs = c.crossJoin(q).withColumn("s", cosine(F.col("q"), F.col("v"), F.col("nq"), F.col("nc")))
     w = Window.partitionBy("query_id").orderBy(F.desc("s"), "chunk_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    ranked = search.candidates(queries, chunks, k).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
     return ranked.select("query_id", "chunk_id", "rank", distance_to_similarity(F.lit(2.0) - F.lit(2.0) * F.col("s")).alias("score"))
 
 
