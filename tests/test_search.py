@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions.scores import cosine
 from evalweave.operators import retrieval, search
+from evalweave.plans import registry
 
 
 def odd_vectors():
@@ -43,3 +44,9 @@ def test_no_vectors(spark):
     q, c = spark.createDataFrame([(1, [1.0])], "query_id long, q array<double>"), spark.createDataFrame([(2, [1.0])], "chunk_id long, v array<double>")
     assert retrieval.nearest_chunks(q, c.limit(0)).count() == retrieval.nearest_chunks(q.limit(0), c).count() == 0
     assert tuple(retrieval.nearest_chunks(q, c).first()) == (1, 2, 1, 1.0)
+
+
+@pytest.mark.parametrize("name", ["mean_similarity"])
+def test_no_row_a_pair(spark, name):
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan and "zipwith" not in plan.lower()
