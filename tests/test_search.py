@@ -46,7 +46,7 @@ def test_no_vectors(spark):
     assert tuple(retrieval.nearest_chunks(q, c).first()) == (1, 2, 1, 1.0)
 
 
-@pytest.mark.parametrize("name", ["mean_similarity"])
+@pytest.mark.parametrize("name", ["mean_similarity", "topk_cosine"])
 def test_no_row_a_pair(spark, name):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "zip_with" not in plan and "zipwith" not in plan.lower()
