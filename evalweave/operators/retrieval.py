@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalweave.functions import text as rules
 from evalweave.functions.scores import clamp, cosine, distance_to_similarity, dot, r2, r4
 from evalweave.operators import search
+from evalweave.operators.batches import bound
 
 SIZE, OVERLAP = 500, 50
+#: Characters of a text split at once; of pieces held at once, and the number of these.
+WINDOW, PIECES, MOST = 1 << 16, 1 << 20, 4096
 #: A blank line, a line, a word, a letter.
 SEPARATORS = tuple("\n\n|\n| |".split("|"))
 NOTHING_FOUND = "No documents were found to answer this question."
@@ -44,42 +49,81 @@ def fixed_chunks(df: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> Dat
     return at.select("doc_id", "chunk_index", F.expr(f"substring(text, int(chunk_index * {step} + 1), {size})").alias("chunk"))
 
 
-def split_recursively(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces of at most `size` characters, cut at the first separator that works, neighbours sharing up to `overlap`."""
+def _parts(text: str, mark: str) -> Iterator[str]:
+    """text.split(mark), or its characters for an empty mark, without holding all of them."""
+    if not mark:
+        yield from text
+        return
+    at = 0
+    while len(text) - at > WINDOW:
+        *some, rest = text[at : at + WINDOW].split(mark)
+        if some:
+            yield from some
+            at += WINDOW - len(rest)  # just after a mark, as split() goes on
+            continue
+        to = text.find(mark, at)
+        if to < 0:
+            break
+        yield text[at:to]
+        at = to + len(mark)
+    yield from text[at:].split(mark)
+
+
+def _pieces(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> Iterator[str]:
     mark = next((s for s in separators if s and s in text), "")
     rest = separators[separators.index(mark) + 1 :] if mark in separators else ()
-    out: list[str] = []
-    held: list[str] = []
-
-    def close() -> None:
-        joined = mark.join(held).strip()
-        if joined:
-            out.append(joined)
+    held: deque[str] = deque()
+    length, gap = -len(mark), len(mark)  # of what is held, joined: a gap less than its parts and their gaps
 
-    for part in text.split(mark) if mark else list(text):
+    for part in _parts(text, mark):
         if len(part) > size:
-            close()
+            if joined := mark.join(held).strip():
+                yield joined
             held.clear()
-            out.extend(split_recursively(part, size, overlap, rest))
+            length = -gap
+            yield from _pieces(part, size, overlap, rest)
             continue
-        if held and len(mark.join([*held, part])) > size:
-            close()
-            while held and (len(mark.join(held)) > overlap or len(mark.join([*held, part])) > size):
-                held.pop(0)
+        if held and length + gap + len(part) > size:
+            if joined := mark.join(held).strip():
+                yield joined
+            while held and (length > overlap or length + gap + len(part) > size):
+                length -= len(held.popleft()) + gap
         held.append(part)
-    close()
-    return out
+        length += gap + len(part)
+    if joined := mark.join(held).strip():
+        yield joined
 
 
-def recursive_chunks(df: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(source, page, pos, text): the pieces of each page."""
+def split_recursively(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Pieces of at most `size` characters, cut at the first separator that works, neighbours sharing up to `overlap`."""
+    return list(_pieces(text, size, overlap, separators))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(s, p, k, c) for s, p, t in zip(pdf["source"], pdf["page"], pdf["text"], strict=True) for k, c in enumerate(split_recursively(t or "", size, overlap))]
-            yield pd.DataFrame(rows, columns=["source", "page", "pos", "text"])
 
-    return df.select("source", F.col("page").cast("int").alias("page"), "text").mapInPandas(run, "source string, page int, pos int, text string")
+def recursive_chunks(df: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """(source, page, pos, text): the pieces of each page; a worker holds a batch of pages and about PIECES characters of pieces."""
+    kinds = pa.schema([("source", pa.string()), ("page", pa.int32()), ("pos", pa.int32()), ("text", pa.string())])
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for b in batches:
+            for row in zip(*b.columns, strict=True):
+                source, page, text = (x.as_py() for x in row)
+                for k, piece in enumerate(_pieces(text or "", size, overlap, SEPARATORS)):
+                    rows.append((source, page, k, piece))
+                    held += len(piece)
+                    if held >= PIECES or len(rows) >= MOST:
+                        yield batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield batch(rows)
+
+    bound(df.sparkSession)
+    given = df.select(F.col("source").cast("string").alias("source"), F.col("page").cast("int").alias("page"), "text")
+    return given.mapInArrow(run, "source string, page int, pos int, text string")
 
 
 def indexed_chunks(df: DataFrame) -> DataFrame:
