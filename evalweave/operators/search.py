@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalweave.operators.batches import bound
+
 #: The most vectors, and bytes of vectors, in a block; queries multiplied at once; pairs scored at once.
 ROWS, BYTES, QUERIES, PAIRS = 4096, 4 << 20, 256, 1 << 16
 
@@ -114,6 +116,7 @@ def _best(q: _Vectors, c: _Vectors, k: int, top: np.ndarray) -> Iterator[tuple[n
 def candidates(queries: DataFrame, chunks: DataFrame, k: int, rows: int = ROWS) -> DataFrame:
     """(query_id, chunk_id, s): cosines of queries (query_id, q) and chunks (chunk_id, v), with the k best of each query, ties by chunk_id, among them."""
     k = max(k, 1)
+    bound(queries.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops: dict[int, np.ndarray] = {}
